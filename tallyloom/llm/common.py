@@ -78,3 +78,8 @@ def digest(c: Column) -> tuple[Column, Column]:
 
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df, marked for broadcast if it is counted to have at most so many rows; a larger one is joined by a shuffle. For saved tables of a few numbers a row."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

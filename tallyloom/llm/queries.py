@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat_format, langid, line_dedup, packing, simhash, wavelet
+from tallyloom.llm import chat_format, cross_polytope, decontam, langid, licenses, line_dedup, packing, simhash, wavelet
 
 
 def word_bpe() -> str:
@@ -40,16 +40,28 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), capacity=4096)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op4_language_id, op5_best_fit_packing, op7_wavelet_ids, op9_simhash)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op4_language_id, op5_best_fit_packing, op6_decontamination, op7_wavelet_ids, op8_license_scan, op9_simhash, op10_embedding_dedup)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -73,3 +85,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
        CAST(sum(12 + length(r) + 1 + length(t) + more + 11) AS BIGINT) AS formatted_chars
 FROM x GROUP BY conv_id""",
 }
+
+
+def _license_sql() -> str:
+    form = "lower(coalesce(text, ''))"
+    for pattern in (licenses.COPYRIGHT, licenses.COPYRIGHT_C):
+        form = f"regexp_replace({form}, '{pattern}', '\\1', 'g')"
+    form = f"' ' || trim(regexp_replace({form}, '{licenses.OTHER}', ' ', 'g')) || ' '"
+    for a, b in licenses.SAME:
+        form = f"replace({form}, ' {a} ', ' {b} ')"
+    known = ", ".join(f"('{a}', '{b}')" for a, b in licenses.digests())
+    return f"""
+WITH f AS (SELECT doc_id, trim({form}) AS form FROM documents),
+d AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM f),
+k AS (SELECT * FROM (VALUES {known}) AS t(digest, license))
+SELECT doc_id, d.digest, license FROM d LEFT JOIN k ON d.digest = k.digest"""
+
+
+ORACLE["op8_license_scan"] = _license_sql()
