@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat_format, cross_polytope, decontam, langid, licenses, line_dedup, packing, simhash, wavelet
+from tallyloom.llm import chat_format, cross_polytope, decontam, langid, licenses, line_dedup, packing, quality, simhash, wavelet
 
 
 def word_bpe() -> str:
@@ -30,6 +30,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_conversations(rows.unionByName(own))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.identify(docs.select("doc_id", "text"), langid.train_on_folds(docs))
@@ -61,7 +66,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op4_language_id, op5_best_fit_packing, op6_decontamination, op7_wavelet_ids, op8_license_scan, op9_simhash, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_quality, op4_language_id, op5_best_fit_packing, op6_decontamination, op7_wavelet_ids, op8_license_scan, op9_simhash, op10_embedding_dedup)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
