@@ -47,10 +47,11 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     jump = save(rows.join(parents, ["tree_id", "parent_id"], "left").select("tree_id", "msg_id", F.expr("IF(there, parent_id, NULL)").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("len")), "jumps")
     leaves = jump.select("tree_id", "msg_id").join(jump.where("up IS NOT NULL").select("tree_id", F.col("up").alias("msg_id")), ["tree_id", "msg_id"], "left_anti")
     jumps, limit = [jump], jump.count()
-    # up: the ancestor 2^k steps up; total and len: of the path from the message to just below it.
+    # up: the ancestor 2^k steps up; total and len: of the path from the message to just below it. Only messages that have one go on.
     while jump.where("up IS NOT NULL").limit(1).count() and 1 << len(jumps) <= 2 * limit:
         above = jump.select("tree_id", F.col("msg_id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("len").alias("len2"))
-        jump = save(jump.join(above, ["tree_id", "up"], "left").select("tree_id", "msg_id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len")), "jumps")
+        going = jump.where("up IS NOT NULL").join(above, ["tree_id", "up"]).select("tree_id", "msg_id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("len") + F.col("len2")).alias("len"))
+        jump = save(going.unionByName(jump.where("up IS NULL")), "jumps")
         jumps.append(jump)
     scored = jump.where("up IS NULL").join(leaves, ["tree_id", "msg_id"], "left_semi").select("tree_id", F.col("msg_id").alias("leaf"), (F.col("total") / F.col("len")).alias("score"), "len")
     rank = F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("score"), "leaf"))

@@ -1,9 +1,11 @@
 """Token ids of whole texts, with the pieces between white space encoded once and kept.
 
 The tokenizer's file splits at white space before it merges, so a text's ids are those of its white-space pieces, one after the
-other. A worker keeps the ids of the pieces that it has met (up to a bound, then it starts anew) and hands only new ones to the
-library. Texts with special tokens or with the separators \\x1c-\\x1f, which str.split() takes for white space and the tokenizer
-does not, go to the library whole; so does everything if the tokenizer is not one that drops white space.
+other. A worker keeps the ids of the short pieces that it has met (up to a bound, then it starts anew) and hands only new ones to the
+library. A piece that is letters and then signs is the ids of its letters and of its signs, since the tokenizer splits between
+them too; Latin letters go to the library's merges directly. Texts with special tokens or with the separators \\x1c-\\x1f, which
+str.split() takes for white space and the tokenizer does not, go to the library whole; so does everything if the tokenizer is
+not one that drops white space.
 """
 
 from __future__ import annotations
@@ -11,11 +13,18 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 END_ID = 1
-_KEPT = 400_000
+_KEPT = 800_000
+_LONG = 64
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+#: Byte-level alphabet: bytes that are no printable Latin-1 characters are named by code points from 256.
+_SAME = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SAME)}
+_TAIL = ".,;:!?*#$%&"
 _MADE: dict[str, TextEncoder] = {}
 
 
@@ -26,14 +35,14 @@ class TextEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = json.dumps(spec.get("pre_tokenizer"))
         self.whole = not ('"Removed"' in steps and r"[^\\s" in steps and '"invert": true' in steps)
-        special = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
-        self.odd = re.compile("|".join([*special, "[\x1c-\x1f]"]))
+        self.special = [*(x["content"] for x in spec.get("added_tokens", [])), *"\x1c\x1d\x1e\x1f"]
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.known = _Known(self, '"ByteLevel"' in steps and '"Lowercase"' in json.dumps(spec.get("normalizer")))
 
     @staticmethod
     def of(path: str) -> TextEncoder:
@@ -46,13 +55,33 @@ class TextEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without the end id."""
-        parts = [None if self.whole or self.odd.search(x) else x.split() for x in (x or "" for x in texts)]
-        known = self.known
-        new = set().union(*(p for p in parts if p)) - known.keys()
-        if len(known) + len(new) > self.kept:
-            known.clear()
-            new = set().union(*(p for p in parts if p))
-        if new := list(new):
-            known.update(zip(new, self._ids(new)))
-        found = [self._ids([texts[i] or ""])[0] if p is None else b"".join(map(known.__getitem__, p)) for i, p in enumerate(parts)]
+        if len(self.known) > self.kept:
+            self.known.clear()
+        get = self.known.__getitem__
+        found = [self._ids([x])[0] if self.whole or self._odd(x) else b"".join(map(get, x.split())) for x in (x or "" for x in texts)]
         return [np.frombuffer(x, self.type) for x in found]
+
+    def _odd(self, text: str) -> bool:
+        return any(x in text for x in self.special)
+
+
+class _Known(dict):
+    """Ids of white-space pieces, found out when first asked for."""
+
+    def __init__(self, encoder: TextEncoder, latin: bool):
+        self.encoder, self.merge, self.word, self.char = encoder, encoder.tokenizer.model.tokenize, _LATIN.fullmatch if latin else (lambda x: None), encoder.type.char
+
+    def __missing__(self, piece: str) -> bytes:
+        base = piece.rstrip(_TAIL)
+        if not self.word(base):
+            ids = self.encoder._ids([piece])[0]
+        elif len(base) < len(piece):
+            ids = self[base] + self[piece[len(base) :]]
+        else:
+            # A run of Latin letters is one piece of the tokenizer, already composed: only its bytes are renamed before the merges.
+            raw = piece.lower().encode()
+            name = raw.decode() if raw.isascii() else raw.decode("latin-1").translate(_BYTES)
+            ids = array(self.char, [x.id for x in self.merge(name)]).tobytes()
+        if len(piece) <= _LONG:
+            self[piece] = ids
+        return ids

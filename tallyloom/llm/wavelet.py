@@ -225,7 +225,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     dealt = starts(manifest).select("path", "start")
-    return dealt.repartition(F.xxhash64("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
