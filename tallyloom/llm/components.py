@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
         if not moved:
             drop(both)
             return labels.select("node", F.col("label").alias("component"))
+
+
+def unite(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Joins the sets of p[k] and q[k] for every k, in place. label[x] is the least member of x's set, before and after."""
+    p, q = label[p], label[q]
+    while len(apart := np.flatnonzero(p != q)):
+        p, q = p[apart], q[apart]
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        np.minimum.at(label, high, low)
+        while (label != (next_label := label[label])).any():
+            label[:] = next_label
+        p, q = label[p], label[q]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import ready, save
-from tallyloom.llm.components import components
+from tallyloom.llm.components import components, unite
 
 FOUND = "kind int, node long, n long, root long"
 
@@ -150,7 +150,7 @@ def _compared(key, held, threshold, tables, probes):
             p, q = i[k : k + 100_000], j[k : k + 100_000]
             keep = np.einsum("ij,ij->i", x[p], x[q]) >= threshold
             p, q = p[keep], q[keep]
-            np.minimum.at(parent, np.maximum(p, q), np.minimum(p, q))
+            unite(parent, p, q)
             for e in range(t):  # met before
                 new = ~(codes[p, e][:, :, None] == codes[q, e][:, None, :]).any((1, 2))
                 p, q = p[new], q[new]

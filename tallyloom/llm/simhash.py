@@ -8,12 +8,20 @@ stored in a table, each class probes the Hamming ball of that radius around its
 verified on what the tables return. A pair whose segments differ is met from one side only (the one with the lowest differing
 bit set). Ball sizes are fixed by (bits, segments, radius); nothing is capped.
 
+near_duplicates() links documents by the distance of 64-bit fingerprints over three words. similar_groups() is for a given
+similarity: wide fingerprints over the distinct shingles of five words, of `segments` segments; each class is stored under, and probes,
+the ball of one change among the `weak` least certain bits of every segment, so that two classes meet if a segment differs in
+up to two such bits. A pair is linked if the whole distance, with both numbers of shingles, estimates a Jaccard similarity of at least
+`similarity` less `tolerance` (about one standard error of 240 bits). Of a bucket, all members are compared with its least one,
+and only those that it does not link are compared with the others, in blocks: a group of close copies costs a comparison each.
+
 Null, empty and blank texts have fingerprint zero, linked like any other. Null ids take part; a group's id is its least
 non-null id, null if it has none. Repeated rows come out as often as they came in. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import LOWER, UPPER, ready, save
-from tallyloom.llm.components import components
+from tallyloom.llm.components import components, unite
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ROWS = 1 << 16
@@ -83,3 +91,169 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, segments:
     of = classes.join(comp, F.col("node") == F.col("fp"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+WIDE = "rep long, n int, fp array<long>, weak array<long>"
+
+
+def _mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * by
+    x = (x ^ (x >> np.uint64(29))) * _MIX[1]
+    return x ^ (x >> np.uint64(32))
+
+
+class WideHasher:
+    """Wide fingerprints of texts; hashes of words are kept, up to a bound."""
+
+    def __init__(self, words: int, segments: int, width: int, weak: int, kept: int = 500_000):
+        self.words, self.segments, self.width, self.weak, self.kept, self.known = words, segments, width, weak, kept, {}
+        self.longs = -(-segments * width // 64)
+
+    def shingles(self, text: str | None) -> tuple[int, np.ndarray]:
+        """(hash of the word sequence, distinct shingle hashes)."""
+        known, digest = self.known, xxhash.xxh64_intdigest
+        if len(known) > self.kept:
+            known.clear()
+        h = []
+        for w in (text or "").encode().translate(_FOLD).split():
+            if (x := known.get(w)) is None:
+                x = digest(w, 7)
+                if len(w) <= 64:
+                    known[w] = x
+            h.append(x)
+        h = np.array(h, np.uint64)
+        k = min(self.words, max(1, len(h)))
+        out = np.zeros(max(0, len(h) - k + 1), np.uint64)
+        for i in range(k):
+            out = _mixed(out ^ h[i : i + len(out)], _MIX[0])
+        return xxhash.xxh64_intdigest(h.tobytes(), 7), np.unique(out)
+
+    def fingerprint(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(segments as longs, their masks of least certain bits)."""
+        votes = np.zeros(64 * self.longs, np.int64)
+        for at in range(0, len(s), 1 << 14):
+            part = s[at : at + (1 << 14)]
+            bits = np.unpackbits(np.stack([_mixed(part, _MIX[i % 4] + np.uint64(2 * i)) for i in range(self.longs)], axis=1).view(np.uint8), axis=1, bitorder="little")
+            votes += bits.sum(0, dtype=np.uint32)
+        margin = (votes * 2 - len(s))[: self.segments * self.width].reshape(self.segments, self.width)
+        power = np.int64(1) << np.arange(self.width, dtype=np.int64)
+        near = np.argsort(np.abs(margin), axis=1, kind="stable")[:, : self.weak]
+        return ((margin > 0) * power).sum(1), power[near].sum(1)
+
+
+def wide_fingerprints(docs: DataFrame, words: int, segments: int, width: int, weak: int) -> DataFrame:
+    """docs(id, tie, text): id, tie and WIDE for every row; rep is a number of the text's word sequence."""
+    ready(docs.sparkSession)
+
+    def run(batches):
+        hasher = WideHasher(words, segments, width, weak)
+        for b in batches:
+            reps, counts, fps, masks = [], [], [], []
+            for x in b.column(2):
+                rep, s = hasher.shingles(x.as_py())
+                fp, mask = hasher.fingerprint(s)
+                reps.append(rep)
+                counts.append(len(s))
+                fps.append(fp)
+                masks.append(mask)
+            cut = np.arange(len(reps) + 1, dtype=np.int32) * segments
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(x) if x else np.empty(0, np.int64))) for x in (fps, masks)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(reps, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), *lists], ["id", "tie", "rep", "n", "fp", "weak"])
+
+    return docs.select("id", "tie", "text").mapInArrow(run, f"id long, tie long, {WIDE}")
+
+
+def _estimate(d, n, m, bits: int):
+    """Jaccard similarity from a distance and both numbers of shingles."""
+    both = F.cos(d * (math.pi / bits)) * F.sqrt(n.cast("double") * m)
+    return F.when((n == 0) & (m == 0), 1.0).otherwise(both / (n + m - both))
+
+
+def _rest_links(rest: DataFrame, others: DataFrame, bits: int, least: float, block: int) -> DataFrame:
+    """rest and others (key, rep, n, fp) with nr and no, their rows in the bucket: links (a, b) that join what is similar across the two sides."""
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda df, side, own, other: (
+        df.withColumn("mine", F.pmod(F.xxhash64("rep"), F.ceil(F.col(own) / block)))
+        .withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(other) / block) - 1)))
+        .select("key", F.col("mine" if side == 0 else "theirs").alias("x"), F.col("theirs" if side == 0 else "mine").alias("y"), F.lit(side).alias("side"), "rep", "n", "fp")
+    )
+    dealt = deal(rest, 0, "nr", "no").unionByName(deal(others, 1, "no", "nr")).repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "rep")
+
+    def compared(held):
+        side, rep, n, fp = (np.concatenate([h[i] for h in held]) for i in range(4))
+        p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(p) or not len(q):
+            return
+        label = np.arange(len(rep))
+        for at in range(0, len(p), 256):
+            i = p[at : at + 256]
+            d = np.zeros((len(i), len(q)), np.int64)
+            for s in range(fp.shape[1]):
+                d += np.bitwise_count(fp[i, s][:, None] ^ fp[q, s][None, :])
+            both = np.cos(d * (math.pi / bits)) * np.sqrt(n[i].astype(float)[:, None] * n[q][None, :])
+            a, b = np.nonzero(both >= least * (n[i][:, None] + n[q][None, :] - both) - 1e-9)
+            unite(label, i[a], q[b])
+        child = np.flatnonzero(label != np.arange(len(rep)))
+        if len(child):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[label[child]])], ["a", "b"])
+
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
+            cols = (b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5).to_numpy().astype(np.int64), b.column(6).flatten().to_numpy().reshape(b.num_rows, -1))
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if (now := tuple(k[lo].tolist())) != key:
+                    if held:
+                        yield from compared(held)
+                    key, held = now, []
+                held.append(tuple(c[lo:hi] for c in cols))
+        if held:
+            yield from compared(held)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tolerance: float = 0.04, segments: int = 10, width: int = 24, weak: int = 6, block: int = 2000) -> DataFrame:
+    """docs(id, tie, text): (id, tie, grp) for every row; rows of one grp are similar, directly or over others."""
+    bits, least = segments * width, similarity - tolerance
+    rows = save(wide_fingerprints(docs, words, segments, width, weak), "wide")
+    classes = save(rows.groupBy("rep").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("weak").alias("weak")), "wide-classes")
+    one = F.lit(1).cast("long")
+    balls = F.zip_with("fp", "weak", lambda f, m: F.concat(F.array(f), F.transform(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.call_function("shiftright", m, b).bitwiseAND(one) == 1), lambda b: f.bitwiseXOR(F.call_function("shiftleft", one, b)))))
+    numbered = F.flatten(F.transform(balls, lambda ball, s: F.transform(ball, lambda k: k + s.cast("long") * F.lit(1 << width))))
+    keys = save(classes.select("rep", F.explode(numbered).alias("key")), "wide-keys")
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
+    member = save(keys.join(buckets, "key").where("rep <> leader"), "wide-members")
+    fps = classes.select("rep", "n", "fp")
+    d = sum((F.bit_count(F.col("fp")[i].bitwiseXOR(F.col("fp2")[i])) for i in range(1, segments)), F.bit_count(F.col("fp")[0].bitwiseXOR(F.col("fp2")[0])))
+    near = member.select("rep", "leader").distinct().join(fps, "rep").join(fps.select(F.col("rep").alias("leader"), F.col("n").alias("n2"), F.col("fp").alias("fp2")), "leader")
+    near = save(near.select("rep", "leader", (_estimate(d, F.col("n"), F.col("n2"), bits) >= least).alias("linked")), "wide-near")
+    edges = near.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    rest = save(member.where("size > 2").join(near.where("NOT linked"), ["rep", "leader"], "left_semi").select("key", "rep", "size"), "wide-rest")
+    left = rest.groupBy("key").agg(F.count("*").alias("nr"))
+    # Within a bucket, members that the leader links are met by the rest, and the rest by one another.
+    others = member.select("key", "rep", (F.col("size") - 1).alias("no")).join(left, "key").join(fps, "rep")
+    rest = rest.select("key", "rep", (F.col("size") - 1).alias("no")).join(left, "key").join(fps, "rep")
+    edges = save(edges.unionByName(_rest_links(rest, others, bits, least, block)), "wide-edges")
+    comp = components(edges)
+    return rows.select("id", "tie", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "tie", F.coalesce("component", "rep").alias("grp"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs, less all but one row of each similar group: the one with the least id (null ids last), of those the least hash of the text."""
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    keyed = keyed.withColumn("tie", F.xxhash64("text"))
+    groups = save(similar_groups(keyed.select("id", "tie", "text"), **options), "wide-groups")
+    best = groups.groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("best")).select("best.id", "best.tie")
+    times = groups.groupBy("id", "tie").agg(F.count("*").alias("times"))
+    best = save(best.join(times, best["id"].eqNullSafe(times["id"]) & (best["tie"] == times["tie"])).select(best["id"].alias("best_id"), best["tie"].alias("best_tie"), "times"), "wide-best")
+    found = keyed.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("tie") == F.col("best_tie")))
+    out = found.where("times = 1").select("row")
+    if best.where("times > 1").limit(1).count():
+        out = out.unionByName(found.where("times > 1").dropDuplicates(["id", "tie"]).select("row"))
+    return out.select("row.*")
