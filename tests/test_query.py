@@ -1,0 +1,175 @@
+"""Metrics, mappings, grouping and filters against small tables of known content."""
+
+import datetime as dt
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from quotes import QUOTE_STATS, WORD_STATS, frame, schema, tuples
+from tallyloom.functions.words import word_rows
+from tallyloom.operators import query
+from tallyloom.operators.extract import partials
+from tallyloom.operators.query import ResultTooLarge, resolve
+from tallyloom.schema import Extractors, Schema
+from tallyloom.types import Filter, FloatRange, IntRange, QuerySpec, SchemaSpec, StringRange, TimeRange, ViewSpec, loads
+
+CUBE = """
+mappings: [{name: ident, tag: 1}]
+dimensions: [{name: dim_a, type: VARINT, tag: 1}, {name: dim_b, type: VARINT, tag: 2}, {name: dim_c, type: VARINT, tag: 3}, {name: one, type: VARINT, tag: 4}, {name: num, type: FLOAT, tag: 5}, {name: at, type: TIMESTAMP, tag: 6}]
+metrics: [{name: total, dimension: one, type: VARINT_SUM, tag: 1}, {name: last, dimension: dim_c, type: VARINT_GAUGE, tag: 2}, {name: weight, dimension: num, type: FLOAT_SUM, tag: 3}]
+relations: [{name: rel, tag: 1, mapping: ident, dimensions: [dim_a, dim_b, dim_c, one, num, at]}]
+views: [{name: cube, tag: 1, relation: rel, view: {dimensions: [dim_a, dim_b, dim_c], metrics: [total, last]}}, {name: nums, tag: 2, relation: rel, view: {dimensions: [num], metrics: [total]}}, {name: times, tag: 3, relation: rel, view: {dimensions: [at], metrics: [weight]}}]
+"""
+
+
+def cube_schema():
+    ints = {1: "a", 2: "b", 3: "c", 4: "1"}
+    return Schema(loads(SchemaSpec, CUBE), Extractors(lambda df: df, {1: lambda df: df}, ints, {5: "num"}, {}, {6: "at"}, {1: ["c"]}))
+
+
+@pytest.fixture(scope="module")
+def cube(spark):
+    """Every combination of three digits, each 109 more than itself."""
+    digit = lambda k: (F.floor(F.col("id") / k) % 10 + 109).alias
+    return spark.range(1000).select(digit(100)("a"), digit(10)("b"), digit(1)("c"), F.lit(0.0).alias("num"), F.lit(dt.datetime(2024, 1, 1)).alias("at")).cache()
+
+
+def ask(source, of, view, dims, mets, *filters, both=True, **kw):
+    """The answer by stored states and straight from rows, which must agree."""
+    spec = QuerySpec(view, ViewSpec(list(dims), list(mets)), list(filters))
+    resolved = resolve(of, spec, kw.pop("now", None))
+    state = partials(of, of.view(view), source)
+    got = tuples(query.execute(of, resolved, state, **kw))
+    assert got == tuples(query.over_rows(of, resolved, source))
+    return got
+
+
+def test_quotes(spark):
+    s = schema()
+    assert ask(frame(spark), s, "quote_stats", ["author", "quote_id"], ["sum_quotes", "sum_word_quotes", "sum_words", "unique_words"]) == QUOTE_STATS
+    assert ask(frame(spark), s, "word_stats", ["word", "author"], ["sum_word_quotes", "last_quote", "sum_words"]) == WORD_STATS
+    assert ask(frame(spark), s, "recent", ["author"], []) == [("Doe Jane",), ("John Doe",)]
+
+
+def test_quotes_by_exact_registers(spark):
+    s = schema()
+    r = resolve(s, QuerySpec("quote_stats", ViewSpec(["author"], ["unique_words", "sum_words"])))
+    exact = query.execute(s, r, partials(s, s.view("quote_stats"), frame(spark), "exact"), "exact")
+    assert tuples(exact) == [("Doe Jane", 2, 5), ("John Doe", 3, 4)]
+    r = resolve(s, QuerySpec("quote_stats", ViewSpec([], ["unique_words"])))
+    assert tuples(query.execute(s, r, partials(s, s.view("quote_stats"), frame(spark), "exact"), "exact")) == [(3,)]
+
+
+def test_metrics_come_in_the_querys_order(spark):
+    got = ask(frame(spark), schema(), "quote_stats", ["author"], ["sum_words", "sum_quotes"])
+    assert got == [("Doe Jane", 5, 2), ("John Doe", 4, 1)]
+
+
+def test_no_dimensions(cube):
+    s = cube_schema()
+    assert ask(cube, s, "cube", [], ["total", "last"]) == [(1000, 118)]
+    assert ask(cube, s, "cube", [], ["total", "last"], Filter("dim_a", ints=[IntRange(114)])) == [(500, 118)]
+    assert ask(cube, s, "cube", [], ["total"], Filter("dim_a", ints=[IntRange(1000)])) == []
+    assert ask(cube, s, "cube", ["dim_b"], ["total"], Filter("dim_a", ints=[IntRange(1000)])) == []
+
+
+def test_filter_cube(cube):
+    """(-inf, 7], then {(-inf, 3], [8, 11]}, then {(-inf, 1], [4, 5], [8, 9], [12, 13]}, each 109 more."""
+    up = lambda *pairs: [IntRange(*(None if x is None else x + 109 for x in p)) for p in pairs]
+    filters = [Filter("dim_a", ints=up((None, 7))), Filter("dim_b", ints=up((None, 3), (8, 11))), Filter("dim_c", ints=up((None, 1), (4, 5), (8, 9), (12, 13)))]
+    got = ask(cube, cube_schema(), "cube", ["dim_a", "dim_b", "dim_c"], ["total"], *filters)
+    want = [(a, b, c) for a in range(8) for b in range(10) if b <= 3 or b >= 8 for c in range(10) if c in (0, 1, 4, 5, 8, 9)]
+    assert got == [(a + 109, b + 109, c + 109, 1) for a, b, c in want]
+    assert ask(cube, cube_schema(), "cube", ["dim_c", "dim_a"], ["total"], *filters) == sorted((c + 109, a + 109, 6) for a in range(8) for c in (0, 1, 4, 5, 8, 9))
+
+
+def test_gauge_has_the_value_of_the_last_key(spark):
+    rows = spark.createDataFrame([(1, 1, 7), (1, 2, 3), (2, 1, 5)], "a long, b long, c long").withColumn("num", F.lit(0.0)).withColumn("at", F.current_timestamp())
+    assert ask(rows, cube_schema(), "cube", ["dim_a"], ["last"]) == [(1, 3), (2, 5)]
+
+
+def test_nan_is_below_all_numbers(spark):
+    rows = spark.createDataFrame([(x,) for x in (1.5, float("nan"), -3.0, float("inf"), 0.0, -0.0)], "num double")
+    rows = rows.select("num", *(F.lit(1).alias(c) for c in "abc"), F.current_timestamp().alias("at"))
+    s = cube_schema()
+    got = [r[0] for r in ask_numbers(rows, s)]
+    assert math.isnan(got[0]) and got[1:] == [-3.0, 0.0, 1.5, float("inf")]
+    low = ask_numbers(rows, s, Filter("num", floats=[FloatRange(end=-1.0)]))
+    assert math.isnan(low[0][0]) and low[1:] == [(-3.0, 1)]
+    assert ask_numbers(rows, s, Filter("num", floats=[FloatRange(begin=1.0)])) == [(1.5, 1), (float("inf"), 1)]
+
+
+def ask_numbers(rows, s, *filters):
+    r = resolve(s, QuerySpec("nums", ViewSpec(["num"], ["total"]), list(filters)))
+    return tuples(query.over_rows(s, r, rows))
+
+
+def test_strings_are_ordered_by_bytes(spark):
+    rows = frame(spark, [(1, x, "w") for x in ("b", "B", "é", "a", "Z", "", "😀", "￿")])
+    got = [r[0] for r in ask(rows, schema(), "quote_stats", ["author"], [])]
+    assert got == sorted(["b", "B", "é", "a", "Z", "", "😀", "￿"], key=str.encode)
+    assert ask(rows, schema(), "quote_stats", ["author"], [], Filter("author", strings=[StringRange(end="Z"), StringRange("b")])) == [("",), ("B",), ("Z",), ("b",), ("é",), ("￿",), ("😀",)]
+
+
+def test_times(spark):
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, 1, 0, 0, i), float(i)) for i in range(10)], "at timestamp, num double").select("at", "num", *(F.lit(1).alias(c) for c in "abc"))
+    now = dt.datetime(2024, 1, 1, 0, 0, 9, tzinfo=dt.timezone.utc)
+    got = ask(rows, cube_schema(), "times", [], ["weight"], Filter("at", times=[TimeRange(relative_begin=dt.timedelta(seconds=-2))]), now=now)
+    assert got == [(24.0,)]
+
+
+def test_too_many_rows(cube):
+    with pytest.raises(ResultTooLarge, match="result set is too large for buffering"):
+        ask(cube, cube_schema(), "cube", ["dim_a"], ["total"], max_rows=9)
+    assert len(ask(cube, cube_schema(), "cube", ["dim_a"], ["total"], max_rows=10)) == 10
+
+
+def test_nulls_are_the_identity_of_metrics_and_a_group_of_dimensions(spark):
+    rows = spark.createDataFrame([(None, 1, 5), (None, 1, None), (3, 1, None)], "a long, b long, c long").withColumn("num", F.lit(None).cast("double")).withColumn("at", F.lit(dt.datetime(2024, 1, 1)))
+    assert ask(rows, cube_schema(), "cube", ["dim_a"], ["total", "last"]) == [(None, 2, 5), (3, 1, 0)]
+    assert ask(rows, cube_schema(), "times", [], ["weight"]) == [(0.0,)]
+
+
+def test_int_sums_do_not_wrap(spark):
+    from pyspark.errors import ArithmeticException
+
+    s = cube_schema()
+    s.extractors.ints[4] = "9223372036854775807"
+    rows = spark.createDataFrame([(1, 1, 1)] * 2, "a long, b long, c long").withColumn("num", F.lit(0.0)).withColumn("at", F.current_timestamp())
+    with pytest.raises(ArithmeticException):
+        ask(rows, s, "cube", [], ["total"])
+
+
+@pytest.mark.parametrize(
+    "text, words",
+    [
+        ("One two, one four?", [("four", 1, 1), ("one", 2, 0), ("two", 1, 0)]),
+        ('a.b,c;d"e(f)g!h i?', [(c, 1, int(c == "a")) for c in "abcdefghi"]),
+        ("it's tab\tand\nline", [("it's", 1, 1), ("tab\tand\nline", 1, 0)]),
+        ("", []),
+        (None, []),
+        (" .,!", []),
+    ],
+)
+def test_words(spark, text, words):
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    assert [tuple(r) for r in word_rows(df, "text").select("word", "word_count", "first_count").collect()] == words
+
+
+def test_long_text_of_words(spark):
+    df = spark.createDataFrame([(" ".join(f"w{i % 5000}" for i in range(60_000)),)], "text string")
+    assert tuples(word_rows(df, "text").agg(F.count("*"), F.min("word_count"), F.max("word_count"), F.sum("first_count"))) == [(5000, 12, 12, 1)]
+
+
+def test_plan_pushes_filters_and_columns(spark, sf_dir):
+    from tallyloom.plans import driver
+
+    s = driver.schema()
+    r = resolve(s, QuerySpec("line_stats", ViewSpec(["line_status"], ["sum_quantity"]), [Filter("return_flag", strings=[StringRange("A", "N")])]))
+    plan = query.over_rows(s, r, driver.source_of(spark, sf_dir, "line_stats"))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_returnflag,A)" in plan and "LessThanOrEqual(l_returnflag,N)" in plan
+    assert "ReadSchema: struct<l_quantity:double,l_returnflag:string,l_linestatus:string>" in plan
+    assert plan.count("hashpartitioning") == 1
+
+

@@ -1,0 +1,169 @@
+"""Every rule of a schema, and of its evolution."""
+
+import copy
+import datetime as dt
+import re
+
+import pytest
+
+from tallyloom import types as t
+from tallyloom.schema import Extractors, Schema, validate_transition
+from tallyloom.types import DimensionType, MetricType, ValidationError
+
+BASE = """
+mappings: [{name: ident, tag: 1}]
+dimensions: [{name: an_int, type: VARINT, tag: 1}, {name: a_str, type: STRING, tag: 2}, {name: other, type: STRING, tag: 3}, {name: a_float, type: FLOAT, tag: 4}, {name: a_time, type: TIMESTAMP, tag: 5}]
+metrics: [{name: int_sum, dimension: an_int, type: VARINT_SUM, tag: 1}, {name: other_uniq, dimension: other, type: STRING_HLL, tag: 2}]
+relations: [{name: rel, tag: 1, mapping: ident, dimensions: [an_int, a_str, other, a_float, a_time]}]
+views: [{name: view, tag: 1, relation: rel, view: {dimensions: [an_int, a_str], metrics: [int_sum]}}]
+reserved_view_tags: [{tag: 9}]
+"""
+
+
+def base():
+    return t.loads(t.SchemaSpec, BASE)
+
+
+def ext():
+    return Extractors(new_source=lambda df: df, mappings={1: lambda df: df, 2: lambda df: df}, ints={1: "1", 6: "1"}, strings={2: "'a'", 3: "'b'"}, floats={4: "1.0"}, times={5: "now()"})
+
+
+def refused(spec, message, extractors=None):
+    with pytest.raises(ValidationError, match=f"^{message}$"):
+        Schema(spec, extractors or ext())
+
+
+def test_base_is_valid_with_and_without_extractors():
+    s = Schema(base(), ext())
+    assert s.dimension("a_str").tag == 2 and s.view("view").relation == "rel" and 0 in s.dimensions
+    Schema(base())
+    assert t.loads(t.SchemaSpec, t.dumps(base())) == base()
+
+
+def test_new_source_is_required_with_extractors():
+    e = ext()
+    e.new_source = None
+    refused(base(), "ExtractFns: NewMessage not defined", e)
+
+
+@pytest.mark.parametrize(
+    "kind, new, message",
+    [
+        ("mappings", t.MappingSpec("in valid", tag=9999), r"Mappings\[1\]\.Name: not a valid token \(in valid\)"),
+        ("mappings", t.MappingSpec("x", tag=9999), r"Mappings\[1\]\.Name: invalid length \(1; expected 2 <= length <= 128\)"),
+        ("mappings", t.MappingSpec("ident", tag=9999), r"Mappings\[1\]: duplicated Name \(ident\)"),
+        ("mappings", t.MappingSpec("fixed", tag=9999), r"Mappings\[1\]: extractor not registered \(9999\)"),
+        ("mappings", t.MappingSpec("fixed", tag=1), r"Mappings\[1\]: MapTag already specified \(1\)"),
+        ("dimensions", t.DimensionSpec("in valid", tag=99), r"Dimensions\[5\]\.Name: not a valid token \(in valid\)"),
+        ("dimensions", t.DimensionSpec("ident", DimensionType.STRING, tag=99), r"Dimensions\[5\]: duplicated Name \(ident\)"),
+        ("dimensions", t.DimensionSpec("new", tag=99), r"Dimensions\[5\]: invalid DimensionType \(INVALID_DIM_TYPE\)"),
+        ("dimensions", t.DimensionSpec("new", DimensionType.STRING, tag=99), r"Dimensions\[5\]: extractor not registered \(99; type STRING\)"),
+        ("dimensions", t.DimensionSpec("new", DimensionType.STRING, tag=2), r"Dimensions\[5\]: DimTag already specified \(2\)"),
+        ("dimensions", t.DimensionSpec("new", DimensionType.STRING, tag=0), r"Dimensions\[5\]: DimTag already specified \(0\)"),
+        ("metrics", t.MetricSpec("in valid"), r"Metrics\[2\]\.Name: not a valid token \(in valid\)"),
+        ("metrics", t.MetricSpec("int_sum"), r"Metrics\[2\]: duplicated Name \(int_sum\)"),
+        ("metrics", t.MetricSpec("new", tag=2), r"Metrics\[2\]: MetTag already specified \(2\)"),
+        ("metrics", t.MetricSpec("new", "unknown", tag=7), r"Metrics\[2\]: no such Dimension \(unknown\)"),
+        ("metrics", t.MetricSpec("new", "a_str", tag=7), r"Metrics\[2\]: invalid MetricType \(INVALID_METRIC_TYPE\)"),
+        ("metrics", t.MetricSpec("new", "a_str", MetricType.VARINT_GAUGE, tag=7), r"Metrics\[2\]: Metric Type mismatch \(a_str has type STRING; expected VARINT\)"),
+        ("relations", t.RelationSpec("in valid"), r"Relations\[1\]\.Name: not a valid token \(in valid\)"),
+        ("relations", t.RelationSpec("rel", tag=7), r"Relations\[1\]: duplicated Name \(rel\)"),
+        ("relations", t.RelationSpec("new", tag=1), r"Relations\[1\]: RelTag already specified \(1\)"),
+        ("relations", t.RelationSpec("new", t.Selector(t.LabelSet([t.Label("in valid")])), tag=7), r"Relations\[1\]\.Selector\.Include\.Labels\[0\]\.Name: not a valid token \(in valid\)"),
+        ("relations", t.RelationSpec("new", mapping="unknown", tag=7), r"Relations\[1\]: no such Mapping \(unknown\)"),
+        ("relations", t.RelationSpec("new", mapping="ident", dimensions=["unknown"], tag=7), r"Relations\[1\]\.Dimensions\[0\]: no such Dimension \(unknown\)"),
+        ("relations", t.RelationSpec("new", mapping="ident", dimensions=["a_time", "a_time"], tag=7), r"Relations\[1\]\.Dimensions\[1\]: duplicated Dimension \(a_time\)"),
+        ("reserved_view_tags", t.ReservedTagSpec(9), r"ReservedViewTags\[1\]: MVTag already reserved \(9\)"),
+    ],
+)
+def test_entity_rules(kind, new, message):
+    spec = base()
+    getattr(spec, kind).append(new)
+    refused(spec, message)
+
+
+def _view(**changes):
+    v = t.MaterializedViewSpec("new", "rel", t.ViewSpec(["a_str", "a_time"], ["int_sum"]), tag=7)
+    for k, x in changes.items():
+        setattr(v, k, x)
+    return v
+
+
+@pytest.mark.parametrize(
+    "view, message",
+    [
+        (_view(name="in valid"), r"Views\[1\]\.Name: not a valid token \(in valid\)"),
+        (_view(name="view"), r"Views\[1\]: duplicated Name \(view\)"),
+        (_view(tag=1), r"Views\[1\]: MVTag already specified \(1\)"),
+        (_view(tag=9), r"Views\[1\]: MVTag reserved \(9\)"),
+        (_view(relation="unknown"), r"Views\[1\]: no such Relation \(unknown\)"),
+        (_view(view=t.ViewSpec(["unknown", "a_str"], ["nope"])), r"Views\[1\]\.Dimensions\[0\]: no such Dimension \(unknown\)"),
+        (_view(view=t.ViewSpec(["a_str", "a_str"], ["nope"])), r"Views\[1\]\.Metrics\[0\]: no such Metric \(nope\)"),
+        (_view(view=t.ViewSpec(["a_str", "a_str"], ["int_sum"])), r"Views\[1\]\.Dimensions\[1\]: duplicated Dimension \(a_str\)"),
+        (_view(relation="narrow"), r"Views\[1\]\.Dimensions\[1\]: not part of Relation \(a_time\)"),
+        (_view(relation="narrow", view=t.ViewSpec(["a_str"], ["int_sum"])), r"Views\[1\]\.Metrics\[0\]: Dimension not part of Relation \(an_int; metric int_sum\)"),
+        (_view(view=t.ViewSpec(["a_str"], ["int_sum", "int_sum"])), r"Views\[1\]\.Metrics\[1\]: duplicated Metric \(int_sum\)"),
+        (_view(retention=t.Retention(dt.timedelta(seconds=1), "unknown")), r"Views\[1\]\.Retention: invalid RemoveAfter \(1s; expected >= 1m\)"),
+        (_view(retention=t.Retention(dt.timedelta(minutes=1), "unknown")), r"Views\[1\]\.Retention\.RelativeTo: no such Dimension \(unknown\)"),
+        (_view(retention=t.Retention(dt.timedelta(minutes=1), "other")), r"Views\[1\]\.Retention\.RelativeTo: not a View Dimension \(other\)"),
+        (_view(retention=t.Retention(dt.timedelta(minutes=1), "a_str")), r"Views\[1\]\.Retention\.RelativeTo: mismatched Type \(STRING; expected TIMESTAMP\)"),
+    ],
+)
+def test_view_rules(view, message):
+    spec = base()
+    spec.relations.append(t.RelationSpec("narrow", mapping="ident", dimensions=["a_str"], tag=7))
+    spec.views.append(view)
+    refused(spec, message)
+
+
+def test_a_metric_need_not_be_over_a_view_dimension():
+    spec = base()
+    spec.views.append(_view(view=t.ViewSpec(["a_str"], ["other_uniq"]), retention=None))
+    Schema(spec, ext())
+
+
+@pytest.mark.parametrize(
+    "change, message",
+    [
+        (lambda s: (setattr(s.dimensions[3], "type", DimensionType.VARINT)), r"Dimensions\[3\]: cannot alter immutable Type \(FLOAT != VARINT\)"),
+        (lambda s: (setattr(s.metrics[0], "type", MetricType.VARINT_GAUGE)), r"Metrics\[0\]: cannot alter immutable Type \(VARINT_SUM != VARINT_GAUGE\)"),
+        (lambda s: (setattr(s.metrics[1], "dimension", "a_str")), r"Metrics\[1\]: cannot alter immutable DimTag \(3 != 2\)"),
+        (lambda s: (s.mappings.append(t.MappingSpec("second", tag=2)), setattr(s.relations[0], "mapping", "second")), r"Relations\[0\]: cannot alter immutable MapTag \(1 != 2\)"),
+        (lambda s: (s.views[0].view.dimensions.append("a_float")), r"Views\[0\]: cannot alter immutable View .*"),
+        (lambda s: (s.views[0].view.metrics.append("other_uniq")), r"Views\[0\]: cannot alter immutable View .*"),
+    ],
+)
+def test_what_a_new_revision_may_not_change(change, message):
+    spec = base()
+    change(spec)
+    with pytest.raises(ValidationError, match=f"^{message}$"):
+        validate_transition(Schema(base()), Schema(spec))
+
+
+def test_what_a_new_revision_may_change():
+    renamed = t.loads(t.SchemaSpec, re.sub(r"\b(ident|an_int|a_str|other|a_float|a_time|int_sum|other_uniq|rel|view)\b(?=[,}\]])", r"\1_2", BASE))
+    validate_transition(Schema(base()), Schema(renamed))
+    assert renamed.dimensions[0].name == "an_int_2"
+    spec = copy.deepcopy(base())
+    spec.views[0].desc, spec.relations[0].dimensions = "text", ["a_str", "an_int"]
+    spec.views.append(_view(relation="rel", view=t.ViewSpec(["a_str"], [])))
+    del spec.metrics[1]
+    validate_transition(Schema(base()), Schema(spec))
+
+
+def test_files_are_read_strictly():
+    with pytest.raises(ValidationError, match="unknown fields"):
+        t.loads(t.SchemaSpec, "views: [{nme: x}]")
+    with pytest.raises(ValidationError, match=r"'INT' is not a valid DimensionType \(options are"):
+        t.loads(t.SchemaSpec, "dimensions: [{name: xy, type: INT}]")
+    assert t.loads(t.SchemaSpec, "") == t.SchemaSpec()
+
+
+@pytest.mark.parametrize("text, seconds", [("1h30m", 5400), ("-41s", -41), ("250ms", 0.25), (60_000_000_000, 60)])
+def test_durations(text, seconds):
+    assert t.parse_duration(text) == dt.timedelta(seconds=seconds)
+
+
+def test_selectors():
+    s = t.loads(t.Selector, "{include: {labels: [{name: kind, value: a}, {name: kind, value: b}]}, exclude: {labels: [{name: old}]}}")
+    assert s.matches({"kind": "a"}) and s.matches({"kind": "b"}) and not s.matches({"kind": "c"}) and not s.matches({"kind": "a", "old": "x"}) and t.Selector().matches({})
