@@ -11,6 +11,8 @@ Windows of the template with fewer than `literal` ordinary tokens say too little
 nothing; null and empty texts on either side match nothing. Repeated documents share a row of findings by the digest of their
 text and come out as often as they came in; null ids are kept. Columns besides ids and texts are ignored, or passed through by clean().
 
+A template window without a placeholder is its literal window, so only literal windows stand for those.
+
 Only DataFrame functions are used. The benchmark's windows are broadcast after they are counted, otherwise joined by a shuffle.
 """
 
@@ -19,58 +21,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import digest, let, save, small
+from tallyloom.llm.common import digest, save, small
 
 SIZE = 5
 UNITS = "kg g mg km m cm mm mile miles mph inch inches foot feet yard yards lb lbs pound pounds ounce ounces litre litres liter liters ml second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents degree degrees celsius fahrenheit watt watts volt volts joule joules newton newtons".split()
-PLACES = ("<num>", "<unit>", "<name>")
+#: Code points for private use stand for a number and a name in a text's template, and a third for a unit.
+NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+PLACES = (NUMBER, NAME, UNIT)
 TEXT = ["t1", "t2"]
+_START = r"(?<![^ ])"
 
 
-def tokens(text: Column) -> Column:
-    """Tokens, with _ before one that has a capital only because a sentence starts there."""
+def words(text: Column) -> Column:
+    """A text's tokens, one space between them, with _ before one that has a capital only because a sentence starts there."""
     s = F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("_"), F.lit(" "))
-    s = F.regexp_replace(s, r"(?<=\p{N})[.,](?=\p{N})", "")
+    s = F.regexp_replace(s, r"[.,](?<=\p{N}[.,])(?=\p{N})", "")
     s = F.regexp_replace(s, r"(?=\p{Lu})(?<=(?:^|[.!?:\n])[^\p{L}\p{N}]{0,8})", "_")
-    return F.array_remove(F.split(s, r"[^\p{L}\p{M}\p{N}_]+"), "")
+    return F.trim(F.regexp_replace(s, r"[^\p{L}\p{M}\p{N}_]+", " "))
+
 
+def literal(s: Column) -> Column:
+    return F.split(F.lower(F.replace(s, F.lit("_"), F.lit(""))), " ")
 
-def literal(token: Column) -> Column:
-    return F.lower(F.ltrim(token, F.lit("_")))
 
+def template(s: Column) -> Column:
+    """The same tokens with placeholders for numbers and names. Units are recognised by is_unit()."""
+    return literal(F.regexp_replace(F.regexp_replace(s, _START + r"\p{N}[^ ]*", NUMBER), _START + r"\p{Lu}\p{Ll}[^ ]*", NAME))
 
-def template(token: Column) -> Column:
-    return F.when(token.rlike(r"^\p{N}"), PLACES[0]).when(token.rlike(r"^\p{Lu}\p{Ll}"), PLACES[2]).when(literal(token).isin(UNITS), PLACES[1]).otherwise(literal(token))
+
+def place(token: Column) -> Column:
+    """The placeholder that a token of a template is, or null."""
+    return F.when(token.isin(NUMBER, NAME), token).when(token.isin(UNITS), UNIT)
 
 
 def windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """df has text: keep, n (tokens), lit, tpl (arrays), kind (0 literal, 1 template, where they differ), start and hash, one row per window."""
-    parts = df.select(*keep, tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= SIZE)
-    parts = parts.select(*keep, F.transform("tokens", literal).alias("lit"), F.transform("tokens", template).alias("tpl"))
+    """df has text: keep, lit, tpl (arrays of tokens), start, and key, a hash for the literal and one for the template window at each start.
+
+    Nothing filters by the tokens before the explode, or they would be computed twice (so would an inner explode, for its own filter on the size). Tokens are hashed once, in arrays; windows are hashed after the explode, in generated code, from five longs each.
+    """
+    parts = df.select(*keep, words(F.col("text")).alias("s")).select(*keep, literal(F.col("s")).alias("lit"), template(F.col("s")).alias("tpl"))
+    parts = parts.select(*keep, "lit", "tpl", F.transform("lit", lambda t: F.xxhash64(t)).alias("hl"), F.transform("tpl", lambda t: F.xxhash64(F.when(t.isin(UNITS), UNIT).otherwise(t))).alias("ht"))
+    rows = parts.select(*keep, "lit", "tpl", "hl", "ht", F.posexplode_outer("hl").alias("start", "first")).where(F.col("start") + SIZE <= F.size("hl"))
+    key = lambda kind, h: F.xxhash64(F.lit(kind), *(F.get(h, F.col("start") + i) for i in range(SIZE)))
+    return rows.select(*keep, "lit", "tpl", "start", F.explode(F.array(key(0, F.col("hl")), key(1, F.col("ht")))).alias("key"))
 
-    def hashes(words):
-        return F.transform(F.sequence(F.lit(1), F.size(words) - (SIZE - 1)), lambda i: F.xxhash64(F.slice(words, i, SIZE)))
 
-    all_hashes = F.when(F.col("tpl") == F.col("lit"), let(F.col("lit"), hashes)).otherwise(F.concat(let(F.col("lit"), hashes), let(F.col("tpl"), hashes)))
-    per = F.size("lit") - (SIZE - 1)
-    rows = parts.select(*keep, "lit", "tpl", F.posexplode(all_hashes).alias("pos", "hash"))
-    return rows.select(*keep, F.size("lit").alias("n"), "lit", "tpl", F.floor(F.col("pos") / per).cast("int").alias("kind"), (F.col("pos") % per).alias("start"), "hash")
+def _at(column: str) -> Column:
+    return F.slice(column, F.col("start") + 1, SIZE)
 
 
 def benchmark_windows(benchmark: DataFrame, literal_min: int) -> DataFrame:
+    """(key, item_id, n, at, values): literal windows, and template windows that have a placeholder and enough other tokens."""
     w = windows(benchmark.select("item_id", "text"), ["item_id"])
-    plain = F.size(F.filter(F.slice("tpl", F.col("start") + 1, SIZE), lambda x: ~x.isin(*PLACES)))
-    return w.where((F.col("kind") == 0) | (plain >= literal_min)).select("item_id", "n", "kind", F.col("start").alias("at"), "hash", F.slice("lit", F.col("start") + 1, SIZE).alias("values"))
+    types = F.transform(_at("tpl"), place)
+    places = F.size(F.filter(types, lambda x: x.isNotNull()))
+    literal_key = F.xxhash64(F.lit(0), *(F.xxhash64(F.get(F.col("lit"), F.col("start") + i)) for i in range(SIZE)))
+    w = w.where((F.col("key") == literal_key) | ((places > 0) & (places <= SIZE - literal_min)))
+    return w.select("key", "item_id", F.size("lit").alias("n"), F.col("start").alias("at"), _at("lit").alias("values"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, run: int = 13, consistency: float = 0.8, literal_min: int = 3, bound: int = 500_000) -> DataFrame:
     """(t1, t2, item_id, n_windows, coverage, longest_run, consistency): contaminated texts by their digests."""
     index = save(benchmark_windows(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), literal_min), "bench-windows")
     t1, t2 = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = windows(docs.select(t1.alias("t1"), t2.alias("t2"), "text"), TEXT).drop("n")
-    met = own.join(small(index, bound), ["kind", "hash"])
-    slot = F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda j: F.struct(F.col("tpl")[F.col("start") + j].alias("type"), F.col("values")[j].alias("theirs"), F.col("lit")[F.col("start") + j].alias("ours")))
-    hits = met.select(*TEXT, "item_id", "n", (F.col("start") - F.col("at")).alias("line"), "at", F.filter(slot, lambda x: x["type"].isin(*PLACES)).alias("slots")).distinct()
+    own = windows(docs.select(t1.alias("t1"), t2.alias("t2"), "text"), TEXT)
+    known = small(index, bound)
+    if known is index:
+        # Windows go through a shuffle: each with its own five tokens, not with its text.
+        own = own.select(*TEXT, _at("lit").alias("lit"), _at("tpl").alias("tpl"), "start", "key", F.lit(0).alias("from"))
+    else:
+        own = own.withColumn("from", F.col("start"))
+    met = own.join(known, "key")
+    slot = lambda j: F.struct(place(F.get("tpl", F.col("from") + j)).alias("type"), F.get("values", F.lit(j)).alias("theirs"), F.get("lit", F.col("from") + j).alias("ours"))
+    hits = met.select(*TEXT, "item_id", "n", (F.col("start") - F.col("at")).alias("line"), "at", F.filter(F.array(*map(slot, range(SIZE))), lambda x: x["type"].isNotNull()).alias("slots")).distinct()
     hits = save(hits, "bench-hits")
     pair, line = [*TEXT, "item_id"], [*TEXT, "item_id", "line"]
     # Alignments of a single chance window don't count, unless the item has no more.
