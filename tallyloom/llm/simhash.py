@@ -12,7 +12,7 @@ near_duplicates() links documents by the distance of 64-bit fingerprints over th
 similarity: wide fingerprints over the distinct shingles of five words, of `segments` segments; each class is stored under, and probes,
 the ball of one change among the `weak` least certain bits of every segment, so that two classes meet if a segment differs in
 up to two such bits. A pair is linked if the whole distance, with both numbers of shingles, estimates a Jaccard similarity of at least
-`similarity` less `tolerance` (about one standard error of 240 bits). Of a bucket, all members are compared with its least one,
+`similarity` less `tolerance` (about one standard error of 240 bits; texts of some fifty words have one and a half of it). Of a bucket, all members are compared with its least one,
 and only those that it does not link are compared with the others, in blocks: a group of close copies costs a comparison each.
 
 Null, empty and blank texts have fingerprint zero, linked like any other. Null ids take part; a group's id is its least
@@ -75,8 +75,9 @@ def masks(bits: int, radius: int) -> list[tuple[int, int]]:
 def links(classes: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
     """classes(fp): all pairs (a, b), a < b, of fingerprints at most radius bits apart."""
     bits = 64 // segments
-    ball = F.array(*(F.struct(F.lit(m).cast("long").alias("mask"), F.lit(low).cast("long").alias("low")) for m, low in masks(bits, radius // segments)))
-    cut = lambda s: F.shiftrightunsigned("fp", s * bits).bitwiseAND((1 << bits) - 1)
+    long = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+    ball = F.array(*(F.struct(long(m).alias("mask"), long(low).alias("low")) for m, low in masks(bits, radius // segments)))
+    cut = lambda s: F.shiftrightunsigned("fp", s * bits).bitwiseAND(long((1 << bits) - 1))
     keyed = classes.select("fp", F.posexplode(F.array(*(cut(s) for s in range(segments)))).alias("seg", "key"))
     probes = keyed.select("fp", "seg", "key", F.explode(ball).alias("x")).where("x.mask = 0 OR key & x.low <> 0").select(F.col("fp").alias("p"), "seg", F.expr("key ^ x.mask").alias("key"), (F.col("x.mask") == 0).alias("same"))
     met = probes.join(keyed, ["seg", "key"]).where("p <> fp AND (NOT same OR p < fp)").where(F.bit_count(F.col("p").bitwiseXOR(F.col("fp"))) <= radius)
