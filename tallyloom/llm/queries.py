@@ -89,6 +89,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(
        sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (WHERE r = 'assistant'), '')) AS loss_sha256,
        CAST(sum(12 + length(r) + 1 + length(t) + more + 11) AS BIGINT) AS formatted_chars
 FROM x GROUP BY conv_id""",
+    # All pairs, whole: what the buckets must come to where their recall is 1, as it is on the registered tables.
+    "op10_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) = len(list_filter(e, lambda x: isfinite(x))) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g AS a JOIN g AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least AS component_id, vec_id = least AS kept
+FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
 }
 
 
