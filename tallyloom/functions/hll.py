@@ -1,7 +1,7 @@
 """Approximate distinct counts.
 
-Two kinds of state, both mergeable: 'sketch' is Spark's own HLL sketch, wholly in the JVM; 'exact' keeps the registers that the reference
-engine of this data model would have (MurmurHash3, 2^14 registers), so its estimates are the same to the last digit. A state of
+Two kinds of state, both mergeable: 'sketch' is Spark's own HLL sketch, wholly in the JVM; 'exact' keeps 2^14
+registers of MurmurHash3, as the data model defines its estimates, which are thereby reproducible to the last digit. A state of
 the latter kind is a sorted array of register * 64 + rho, of 16,384 entries at most; it is built and merged by grouping by register.
 """
 

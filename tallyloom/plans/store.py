@@ -16,9 +16,8 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,7 +137,7 @@ class ViewStore:
         (out.sortWithinPartitions(*keys) if keys else out).write.parquet(path)
         return path, T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
 
-    def compact(self, tag: int, whole: bool = False, keep=None) -> None:
+    def compact(self, tag: int, whole: bool = False, keep: Column | None = None) -> None:
         """Merges the runs of every level that is full; whole: all runs into one, of which rows stay for which the Column keep is true."""
         while True:
             number, now = self.manifest(tag)
@@ -169,7 +168,7 @@ class ViewStore:
 
     # Retention.
 
-    def expired(self, tag: int, now: dt.datetime):
+    def expired(self, tag: int, now: dt.datetime) -> Column | None:
         """A Column, true for rows that are past their view's retention; None if it keeps all. A row is due in the second after its time plus the retention."""
         keep = self._view(tag).retention
         if keep is None:
@@ -191,7 +190,3 @@ class ViewStore:
             for name in files.names(self.spark, self.root):
                 if name.isdigit() and int(name) not in self.schema.views:
                     files.delete(self.spark, f"{self.root}/{name}")
-
-
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -103,12 +103,9 @@ class Schema:
             _fail(f"no such MaterializedView ({name})")
         return self.views[tag]
 
-    def relation_tag(self, name: str) -> int:
-        return self.relation(name).tag
-
     # Rules, in the order in which they are tried.
 
-    def _named(self, spec, kind: str) -> None:
+    def _named(self, spec) -> None:
         check_token(spec.name)
         if spec.name in self._names:
             _fail(f"duplicated Name ({spec.name})")
@@ -119,7 +116,7 @@ class Schema:
         self.tags[kind][spec.name] = spec.tag
 
     def _mapping(self, spec: MappingSpec) -> None:
-        self._named(spec, "mapping")
+        self._named(spec)
         if spec.tag in self.mappings:
             _fail(f"MapTag already specified ({spec.tag})")
         if self.extractors is not None and spec.tag not in self.extractors.mappings:
@@ -127,7 +124,7 @@ class Schema:
         self._add(spec, "mapping", self.mappings)
 
     def _dimension(self, spec: DimensionSpec) -> None:
-        self._named(spec, "dimension")
+        self._named(spec)
         if spec.tag in self.dimensions:
             _fail(f"DimTag already specified ({spec.tag})")
         if spec.type is DimensionType.INVALID_DIM_TYPE:
@@ -137,7 +134,7 @@ class Schema:
         self._add(spec, "dimension", self.dimensions)
 
     def _metric(self, spec: MetricSpec) -> None:
-        self._named(spec, "metric")
+        self._named(spec)
         if spec.tag in self.metrics:
             _fail(f"MetTag already specified ({spec.tag})")
         dim = self.dimension(spec.dimension)
@@ -161,7 +158,7 @@ class Schema:
             seen.add(name)
 
     def _relation(self, spec: RelationSpec) -> None:
-        self._named(spec, "relation")
+        self._named(spec)
         if spec.tag in self.relations:
             _fail(f"RelTag already specified ({spec.tag})")
         for side, labels in (("Include", spec.selector.include.labels), ("Exclude", spec.selector.exclude.labels)):
@@ -178,7 +175,7 @@ class Schema:
         self.reserved.add(spec.tag)
 
     def _view(self, spec: MaterializedViewSpec) -> None:
-        self._named(spec, "view")
+        self._named(spec)
         if spec.tag in self.views:
             _fail(f"MVTag already specified ({spec.tag})")
         if spec.tag in self.reserved:
