@@ -30,4 +30,5 @@ def word_rows(docs: DataFrame, text: str) -> DataFrame:
             (i == 0).cast("bigint").alias("first_count"),
         ),
     )
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(entries))
+    # An inner generator would be given a filter on its array's size, which computes the array a second time below it.
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline_outer(entries)).where("word IS NOT NULL")
