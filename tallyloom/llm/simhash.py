@@ -12,8 +12,9 @@ near_duplicates() links documents by the distance of 64-bit fingerprints over th
 similarity: wide fingerprints over the distinct shingles of five words, of `segments` segments; each class is stored under, and probes,
 the ball of one change among the `weak` least certain bits of every segment, so that two classes meet if a segment differs in
 up to two such bits. A pair is linked if the whole distance, with both numbers of shingles, estimates a Jaccard similarity of at least
-`similarity` less `tolerance` (about one standard error of 240 bits; texts of some fifty words have one and a half of it). Of a bucket, all members are compared with its least one,
-and only those that it does not link are compared with the others, in blocks: a group of close copies costs a comparison each.
+`similarity` less `tolerance` (about one standard error of 240 bits; texts of some fifty words have one and a half of it). Classes that share a
+whole segment are grouped first; in the balls, a bucket within one such group needs nothing more. Of a bucket, members are compared with its
+least one, and only those that it does not link are compared with the others, in blocks: a group of close copies costs some comparisons each.
 
 Null, empty and blank texts have fingerprint zero, linked like any other. Null ids take part; a group's id is its least
 non-null id, null if it has none. Repeated rows come out as often as they came in. Other columns are ignored.
@@ -107,7 +108,7 @@ def _mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
 class WideHasher:
     """Wide fingerprints of texts; hashes of words are kept, up to a bound."""
 
-    def __init__(self, words: int, segments: int, width: int, weak: int, kept: int = 500_000):
+    def __init__(self, words: int, segments: int, width: int, weak: int, kept: int = 200_000):
         self.words, self.segments, self.width, self.weak, self.kept, self.known = words, segments, width, weak, kept, {}
         self.longs = -(-segments * width // 64)
 
@@ -224,23 +225,37 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tol
     bits, least = segments * width, similarity - tolerance
     rows = save(wide_fingerprints(docs, words, segments, width, weak), "wide")
     classes = save(rows.groupBy("rep").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("weak").alias("weak")), "wide-classes")
+    fps = classes.select("rep", "n", "fp")
     one = F.lit(1).cast("long")
+    number = lambda k, s: k + s.cast("long") * F.lit(1 << width)
     balls = F.zip_with("fp", "weak", lambda f, m: F.concat(F.array(f), F.transform(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.call_function("shiftright", m, b).bitwiseAND(one) == 1), lambda b: f.bitwiseXOR(F.call_function("shiftleft", one, b)))))
-    numbered = F.flatten(F.transform(balls, lambda ball, s: F.transform(ball, lambda k: k + s.cast("long") * F.lit(1 << width))))
-    keys = save(classes.select("rep", F.explode(numbered).alias("key")), "wide-keys")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader")).where("size > 1")
-    member = save(keys.join(buckets, "key").where("rep <> leader"), "wide-members")
-    fps = classes.select("rep", "n", "fp")
     d = sum((F.bit_count(F.col("fp")[i].bitwiseXOR(F.col("fp2")[i])) for i in range(1, segments)), F.bit_count(F.col("fp")[0].bitwiseXOR(F.col("fp2")[0])))
-    near = member.select("rep", "leader").distinct().join(fps, "rep").join(fps.select(F.col("rep").alias("leader"), F.col("n").alias("n2"), F.col("fp").alias("fp2")), "leader")
-    near = save(near.select("rep", "leader", (_estimate(d, F.col("n"), F.col("n2"), bits) >= least).alias("linked")), "wide-near")
-    edges = near.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    rest = save(member.where("size > 2").join(near.where("NOT linked"), ["rep", "leader"], "left_semi").select("key", "rep", "size"), "wide-rest")
-    left = rest.groupBy("key").agg(F.count("*").alias("nr"))
-    # Within a bucket, members that the leader links are met by the rest, and the rest by one another.
-    others = member.select("key", "rep", (F.col("size") - 1).alias("no")).join(left, "key").join(fps, "rep")
-    rest = rest.select("key", "rep", (F.col("size") - 1).alias("no")).join(left, "key").join(fps, "rep")
-    edges = save(edges.unionByName(_rest_links(rest, others, bits, least, block)), "wide-edges")
+
+    def by_leader(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """keys(rep, grp, key): members (rep, key, size, leader) of buckets, those of its least one's grp aside; (rep, leader, linked)."""
+        buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader"), F.min_by("grp", "rep").alias("with"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+        member = save(keys.join(buckets.where("low <> high"), "key").where("grp <> with").select("rep", "key", "size", "leader"), "wide-members")
+        near = member.select("rep", "leader").distinct().join(fps, "rep").join(fps.select(F.col("rep").alias("leader"), F.col("n").alias("n2"), F.col("fp").alias("fp2")), "leader")
+        return member, save(near.select("rep", "leader", (_estimate(d, F.col("n"), F.col("n2"), bits) >= least).alias("linked")), "wide-near")
+
+    # First by equal segments, to find most of a large group in few comparisons. What is together then is not compared again.
+    _, near = by_leader(classes.select("rep", F.col("rep").alias("grp"), F.explode(F.transform("fp", number)).alias("key")))
+    first = near.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    so_far = classes.join(components(first).select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("grp", F.coalesce("component", "rep"))
+    numbered = F.flatten(F.transform(balls, lambda ball, s: F.transform(ball, lambda k: number(k, s))))
+    keys = save(so_far.select("rep", "grp", F.explode(numbered).alias("key")), "wide-keys")
+    member, near = by_leader(keys)
+    second = near.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    together = save(components(save(first.unionByName(second), "wide-edges")), "wide-together")
+    # What the least one of a bucket does not link, not over third ones either, is compared with all others of the bucket.
+    rest = member.where("size > 2").join(near.where("NOT linked"), ["rep", "leader"], "left_semi")
+    for end in ("rep", "leader"):
+        rest = rest.join(together.select(F.col("node").alias(end), F.col("component").alias(f"{end}_grp")), end, "left").withColumn(f"{end}_grp", F.coalesce(f"{end}_grp", end))
+    rest = save(rest.where("rep_grp <> leader_grp").select("key", "rep", "size", "leader"), "wide-rest")
+    left = rest.groupBy("key", "size", "leader").agg(F.count("*").alias("nr"))
+    others = keys.join(left, "key").where("rep <> leader").select("key", "rep", (F.col("size") - 1).alias("no"), "nr").join(fps, "rep")
+    rest = rest.join(left.select("key", "nr"), "key").select("key", "rep", (F.col("size") - 1).alias("no"), "nr").join(fps, "rep")
+    edges = together.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_rest_links(rest, others, bits, least, block))
     comp = components(edges)
     return rows.select("id", "tie", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "tie", F.coalesce("component", "rep").alias("grp"))
 
