@@ -2,10 +2,14 @@
 
 A text becomes tokens (runs of letters and digits). In its template, numbers, names (a capital and a small letter, not at the start of a
 sentence) and units are replaced by typed placeholders; the literal form is lower-cased tokens. Every window of five tokens,
-in both forms, is hashed and joined with the windows of the benchmark. What matches along one alignment of a document with an
+in both forms, is hashed and joined with the windows of the benchmark. What matches along alignments of a document with an
 item counts: a document is contaminated by an item if the matched windows cover `coverage` of the item's tokens, or an unbroken
-run of `run` tokens, and if its slots are consistent: the item's value of a slot (say, one name) must stand for the same
-value wherever it recurs in the document, for `consistency` of the values.
+run of `run` tokens, and if the slots are consistent: the item's value of a slot (say, one name) must stand for the same
+value wherever it recurs, for `consistency` of the values.
+
+A document may hold several copies with different values, so that is asked of each alignment alone, of each chain of neighbouring ones (a copy
+with words put in; of windows met by several, the alignment with most windows counts), and of all together; one that qualifies is enough.
+Literal windows that cover `coverage` qualify without slots. A literal run alone does not: names changed in the rest of a copy must agree.
 
 Windows of the template with fewer than `literal` ordinary tokens say too little and are not used. Items of fewer than five tokens match
 nothing; null and empty texts on either side match nothing. Repeated documents share a row of findings by the digest of their
@@ -28,6 +32,8 @@ UNITS = "kg g mg km m cm mm mile miles mph inch inches foot feet yard yards lb l
 #: Code points for private use stand for a number and a name in a text's template, and a third for a unit.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 PLACES = (NUMBER, NAME, UNIT)
+#: Which windows of a document and an item are judged together.
+ALL, LINE, CHAIN, LITERAL = range(4)
 TEXT = ["t1", "t2"]
 _START = r"(?<![^ ])"
 
@@ -93,20 +99,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, r
         own = own.withColumn("from", F.col("start"))
     met = own.join(known, "key")
     slot = lambda j: F.struct(place(F.get("tpl", F.col("from") + j)).alias("type"), F.get("values", F.lit(j)).alias("theirs"), F.get("lit", F.col("from") + j).alias("ours"))
-    hits = met.select(*TEXT, "item_id", "n", (F.col("start") - F.col("at")).alias("line"), "at", F.filter(F.array(*map(slot, range(SIZE))), lambda x: x["type"].isNotNull()).alias("slots")).distinct()
-    hits = save(hits, "bench-hits")
+    same = F.slice("lit", F.col("from") + 1, SIZE) == F.col("values")
+    hits = met.select(*TEXT, "item_id", "n", (F.col("start") - F.col("at")).alias("line"), "at", same.alias("same"), F.filter(F.array(*map(slot, range(SIZE))), lambda x: x["type"].isNotNull()).alias("slots")).distinct()
+    return _judged(save(hits, "bench-hits"), coverage, run, consistency)
+
+
+def _scoped(hits: DataFrame) -> DataFrame:
+    """hits of alignments, once for each scope that they count in: (scope, part)."""
     pair, line = [*TEXT, "item_id"], [*TEXT, "item_id", "line"]
     # Alignments of a single chance window don't count, unless the item has no more.
-    starts = hits.select(*line, "n", "at").distinct()
-    aligned = starts.withColumn("met", F.count("*").over(Window.partitionBy(*line))).where(F.col("met") >= F.least(F.lit(3), F.col("n") - (SIZE - 1)))
-    island = aligned.withColumn("g", F.col("at") - F.row_number().over(Window.partitionBy(*line).orderBy("at")))
-    runs = island.groupBy(*line, "g").agg(F.count("*").alias("k")).groupBy(*pair).agg((F.max("k") + (SIZE - 1)).alias("longest_run"))
-    covered = aligned.select(*pair, "n", F.explode(F.sequence(F.col("at"), F.col("at") + (SIZE - 1))).alias("token")).distinct().groupBy(*pair, "n").agg((F.count("*") / F.col("n")).alias("coverage"))
-    counted = aligned.groupBy(*pair).agg(F.countDistinct("at").alias("n_windows"))
-    slots = hits.join(aligned.select(*line, "at").distinct(), [*line, "at"], "left_semi").select(*pair, F.explode("slots").alias("s")).select(*pair, "s.type", "s.theirs", "s.ours").distinct()
-    agree = slots.groupBy(*pair, "type", "theirs").agg(F.count("*").alias("k")).groupBy(*pair).agg(F.avg((F.col("k") == 1).cast("double")).alias("consistency"))
-    found = covered.join(runs, pair).join(counted, pair).join(agree, pair, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    return found.where(((F.col("coverage") >= coverage) | (F.col("longest_run") >= run)) & (F.col("consistency") >= consistency)).select(*pair, "n_windows", "coverage", "longest_run", "consistency")
+    met = F.count("*").over(Window.partitionBy(*line))
+    aligned = hits.withColumn("met", met).where(F.col("met") >= F.least(F.lit(3), F.col("n") - (SIZE - 1)))
+    ordered = Window.partitionBy(*pair).orderBy("line")
+    aligned = aligned.withColumn("before", F.lag("line").over(ordered)).withColumn("chain", F.sum(F.coalesce(((F.col("line") - F.col("before")) * 2 > F.col("n")).cast("long"), F.lit(0))).over(ordered))
+    best = F.max(F.struct("met", -F.col("line"))).over(Window.partitionBy(*pair, "chain", "at"))
+    aligned = aligned.withColumn("best", best["met"].isNotNull() & (-best["col2"] == F.col("line")))
+    scope = lambda name, part: F.struct(F.lit(name).alias("scope"), F.col(part).cast("long").alias("part") if part else F.lit(0).cast("long").alias("part"))
+    scopes = F.array(scope(ALL, None), scope(LINE, "line"), F.when(F.col("best"), scope(CHAIN, "chain")), F.when(F.col("same"), scope(LITERAL, None)))
+    return aligned.select(*line, "n", "at", "slots", F.explode(F.filter(scopes, lambda x: x.isNotNull())).alias("s")).select(*line, "n", "at", "slots", "s.scope", "s.part")
+
+
+def _judged(hits: DataFrame, coverage: float, run: int, consistency: float) -> DataFrame:
+    """hits (t1, t2, item_id, n, line, at, same, slots): the pairs that qualify in some scope, with the figures of the one that covers most."""
+    pair = [*TEXT, "item_id"]
+    part = [*pair, "scope", "part"]
+    scoped = save(_scoped(hits), "bench-scoped")
+    island = scoped.withColumn("g", F.col("at") - F.row_number().over(Window.partitionBy(*part, "line").orderBy("at")))
+    runs = island.groupBy(*part, "line", "g").agg(F.count("*").alias("k")).groupBy(*part).agg((F.max("k") + (SIZE - 1)).alias("longest_run"))
+    tokens = F.array_distinct(F.flatten(F.transform("starts", lambda at: F.sequence(at, at + (SIZE - 1)))))
+    covered = scoped.groupBy(*part, "n").agg(F.collect_set("at").alias("starts")).select(*part, F.size("starts").cast("long").alias("n_windows"), (F.size(tokens) / F.col("n")).alias("coverage"))
+    slots = scoped.select(*part, F.explode("slots").alias("s")).groupBy(*part, "s.type", "s.theirs").agg(F.countDistinct("s.ours").alias("k"))
+    agree = slots.groupBy(*part).agg(F.avg((F.col("k") == 1).cast("double")).alias("consistency"))
+    found = covered.join(runs, part).join(agree, part, "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
+    enough = (F.col("coverage") >= coverage) | ((F.col("scope") != LITERAL) & (F.col("longest_run") >= run))
+    best = found.where(enough & (F.col("consistency") >= consistency)).groupBy(*pair).agg(F.max(F.struct("coverage", "longest_run", "consistency", "n_windows")).alias("b"))
+    return best.select(*pair, "b.n_windows", "b.coverage", "b.longest_run", "b.consistency")
 
 
 def _with_digest(docs: DataFrame) -> DataFrame:

@@ -234,6 +234,30 @@ def test_decontamination(spark):
     assert contaminated(spark, texts, bound=0) == want  # by a shuffle join
 
 
+def test_several_copies_in_one_document(spark):
+    """Each copy has its own values: a name changed in one is no contradiction to the others."""
+    rng = random.Random(3)
+    pad = lambda: cases.prose(rng, 40)
+    other = lambda name, count: ITEM.replace("Tobias", name).replace("14", count)
+    split = ITEM.replace("dollars each", "shiny dollars each")
+    texts = [
+        f"{pad()} {ITEM} {pad()} {other('Marietta', '250')} {pad()}",
+        f"{ITEM} {other('Marietta', '250')}",
+        f"{pad()} {other('Marietta', '250')} {pad()} {other('Oswin', '31')} {pad()}",
+        f"{split} {other('Marietta', '250')} {pad()}",
+        f"{pad()} {ITEM.replace('Tobias', 'Marietta', 1).replace('14', '250', 1)} {pad()}",
+    ]
+    for bound in (500_000, 0):
+        assert contaminated(spark, texts, bound=bound) == [(i, 1) for i in range(4)]
+
+
+def test_two_items_of_one_template_in_one_document(spark):
+    twin = ITEM.replace("Tobias", "Marietta").replace("14", "250")
+    docs = spark.createDataFrame([(1, f"{ITEM}\n{twin}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (2, twin)], "item_id long, text string")
+    assert sorted(r.item_id for r in decontam.report(docs, bench).collect()) == [1, 2]
+
+
 def test_decontamination_of_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (None, ITEM), (2, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
