@@ -8,13 +8,12 @@ stored in a table, each class probes the Hamming ball of that radius around its
 verified on what the tables return. A pair whose segments differ is met from one side only (the one with the lowest differing
 bit set). Ball sizes are fixed by (bits, segments, radius); nothing is capped.
 
-near_duplicates() links documents by the distance of 64-bit fingerprints over three words. similar_groups() is for a given
-similarity: wide fingerprints over the distinct shingles of five words, of `segments` segments; each class is stored under, and probes,
-the ball of one change among the `weak` least certain bits of every segment, so that two classes meet if a segment differs in
-up to two such bits. A pair is linked if the whole distance, with both numbers of shingles, estimates a Jaccard similarity of at least
-`similarity` less `tolerance` (about one standard error of 240 bits; texts of some fifty words have one and a half of it). Classes that share a
-whole segment are grouped first; in the balls, a bucket within one such group needs nothing more. Of a bucket, members are compared with its
-least one, and only those that it does not link are compared with the others, in blocks: a group of close copies costs some comparisons each.
+near_duplicates() links documents by the distance of 64-bit fingerprints over three words. similar_groups() is for a given Jaccard similarity of
+the distinct shingles of five words (as 64-bit hashes): a pair is linked if, and only if, it meets and its two whole sets are at least that similar.
+Pairs meet by MinHash: a key is made of the least shingles under `rows` orders, and there are as many keys as it takes for a pair of exactly
+that similarity to share none with a probability of `missed` (22 for 0.8 and 1e-5); more similar ones miss less. Members of a bucket
+are compared with its least one; a few bands go first, and a bucket within one group needs nothing more. Only those that the least one does
+not link are compared with the others, in blocks bounded by rows and shingles: a group of close copies costs some comparisons each.
 
 Null, empty and blank texts have fingerprint zero, linked like any other. Null ids take part; a group's id is its least
 non-null id, null if it has none. Repeated rows come out as often as they came in. Other columns are ignored.
@@ -31,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import LOWER, UPPER, ready, save
+from tallyloom.llm.common import LOWER, UPPER, ready, save, small
 from tallyloom.llm.components import components, unite
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -96,8 +95,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, segments:
 
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
-WIDE = "rep long, n int, fp array<long>, weak array<long>"
-
 
 def _mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * by
@@ -105,15 +102,15 @@ def _mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WideHasher:
-    """Wide fingerprints of texts; hashes of words are kept, up to a bound."""
+class MinHasher:
+    """Shingle sets of texts and their MinHash keys; hashes of words are kept, up to a bound."""
 
-    def __init__(self, words: int, segments: int, width: int, weak: int, kept: int = 200_000):
-        self.words, self.segments, self.width, self.weak, self.kept, self.known = words, segments, width, weak, kept, {}
-        self.longs = -(-segments * width // 64)
+    def __init__(self, words: int, bands: int, rows: int, kept: int = 200_000):
+        self.words, self.bands, self.rows, self.kept, self.known = words, bands, rows, kept, {}
+        self.by = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64), _MIX[2]) | np.uint64(1)
 
     def shingles(self, text: str | None) -> tuple[int, np.ndarray]:
-        """(hash of the word sequence, distinct shingle hashes)."""
+        """(hash of the word sequence, distinct shingle hashes, ascending)."""
         known, digest = self.known, xxhash.xxh64_intdigest
         if len(known) > self.kept:
             known.clear()
@@ -131,133 +128,157 @@ class WideHasher:
             out = _mixed(out ^ h[i : i + len(out)], _MIX[0])
         return xxhash.xxh64_intdigest(h.tobytes(), 7), np.unique(out)
 
-    def fingerprint(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(segments as longs, their masks of least certain bits)."""
-        votes = np.zeros(64 * self.longs, np.int64)
-        for at in range(0, len(s), 1 << 14):
-            part = s[at : at + (1 << 14)]
-            bits = np.unpackbits(np.stack([_mixed(part, _MIX[i % 4] + np.uint64(2 * i)) for i in range(self.longs)], axis=1).view(np.uint8), axis=1, bitorder="little")
-            votes += bits.sum(0, dtype=np.uint32)
-        margin = (votes * 2 - len(s))[: self.segments * self.width].reshape(self.segments, self.width)
-        power = np.int64(1) << np.arange(self.width, dtype=np.int64)
-        near = np.argsort(np.abs(margin), axis=1, kind="stable")[:, : self.weak]
-        return ((margin > 0) * power).sum(1), power[near].sum(1)
-
-
-def wide_fingerprints(docs: DataFrame, words: int, segments: int, width: int, weak: int) -> DataFrame:
-    """docs(id, tie, text): id, tie and WIDE for every row; rep is a number of the text's word sequence."""
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """One key a band, of the least of the set under each of its orders; none of an empty set."""
+        if not len(s):
+            return np.empty(0, np.uint64)
+        least = np.full(len(self.by), np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(s), 1024):
+            least = np.minimum(least, (self.by[:, None] * s[None, at : at + 1024]).min(1))
+        least, key = least.reshape(self.bands, self.rows), np.arange(1, self.bands + 1, dtype=np.uint64)
+        for i in range(self.rows):
+            key = _mixed(key ^ least[:, i], _MIX[3])
+        return key
+
+
+def shingle_sets(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """docs(id, tie, text): id, tie, at (a number of the row), rep (one of the text's word sequence), n, keys and s, the shingle set."""
     ready(docs.sparkSession)
 
+    def lists(parts):
+        cut = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(cut), pa.array((np.concatenate(parts) if parts else np.empty(0, np.uint64)).view(np.int64)))
+
     def run(batches):
-        hasher = WideHasher(words, segments, width, weak)
+        hasher = MinHasher(words, bands, rows)
         for b in batches:
-            reps, counts, fps, masks = [], [], [], []
-            for x in b.column(2):
-                rep, s = hasher.shingles(x.as_py())
-                fp, mask = hasher.fingerprint(s)
-                reps.append(rep)
-                counts.append(len(s))
-                fps.append(fp)
-                masks.append(mask)
-            cut = np.arange(len(reps) + 1, dtype=np.int32) * segments
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(x) if x else np.empty(0, np.int64))) for x in (fps, masks)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(reps, np.uint64).view(np.int64)), pa.array(counts, pa.int32()), *lists], ["id", "tie", "rep", "n", "fp", "weak"])
+            found = [hasher.shingles(x.as_py()) for x in b.column(3)]
+            sets = [x for _, x in found]
+            reps = np.array([x for x, _ in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(reps), pa.array(list(map(len, sets)), pa.int32()), lists([hasher.keys(x) for x in sets]), lists(sets)], ["id", "tie", "at", "rep", "n", "keys", "s"])
+
+    return docs.select("id", "tie", F.monotonically_increasing_id().alias("at"), "text").mapInArrow(run, "id long, tie long, at long, rep long, n int, keys array<long>, s array<long>")
+
+
+def _rows_of(batches, keys: int):
+    """(key, columns of its rows as arrays, sets), piece by piece, of batches sorted by their first columns."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.stack([b.column(i).to_numpy() for i in range(keys)], axis=1)
+        cols = [b.column(i).to_numpy() for i in range(keys, b.num_columns - 1)]
+        last = b.column(b.num_columns - 1)
+        flat, ends = last.flatten().to_numpy(), np.cumsum(np.array(last.value_lengths()))
+        sets = np.split(flat, ends[:-1])
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield tuple(k[lo].tolist()), [c[lo:hi] for c in cols], sets[lo:hi]
 
-    return docs.select("id", "tie", "text").mapInArrow(run, f"id long, tie long, {WIDE}")
 
+def _similar(inter, n, m, similarity: float):
+    return inter >= similarity * (n + m - inter) - 1e-9
 
-def _estimate(d, n, m, bits: int):
-    """Jaccard similarity from a distance and both numbers of shingles."""
-    both = F.cos(d * (math.pi / bits)) * F.sqrt(n.cast("double") * m)
-    return F.when((n == 0) & (m == 0), 1.0).otherwise(both / (n + m - both))
 
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """pairs (rep, leader), distinct: with linked, whether the Jaccard similarity of their sets is at least `similarity`. A leader of many goes to several tasks."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = pairs.groupBy("leader").agg(F.ceil(F.count("*") / block).alias("parts"))
+    members = pairs.join(of, "leader").select("leader", F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.lit(1).alias("side"), "rep").join(sets, "rep").select("leader", "part", "side", "rep", "s")
+    leaders = of.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("leader").alias("rep")).join(sets, "rep").select("leader", "part", "side", "rep", "s")
+    dealt = leaders.unionByName(members).repartition(parts, "leader", "part").sortWithinPartitions("leader", "part", "side")
 
-def _rest_links(rest: DataFrame, others: DataFrame, bits: int, least: float, block: int) -> DataFrame:
-    """rest and others (key, rep, n, fp) with nr and no, their rows in the bucket: links (a, b) that join what is similar across the two sides."""
+    def run(batches):
+        own = None
+        for (leader, _), (side, rep), found in _rows_of(batches, 2):
+            if side[0] == 0:
+                own, rep, found = found[0], rep[1:], found[1:]
+            if len(rep):
+                linked = [bool(_similar(len(np.intersect1d(own, x, assume_unique=True)), len(own), len(x), similarity)) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array([leader] * len(rep), pa.int64()), pa.array(linked)], ["rep", "leader", "linked"])
+
+    return dealt.mapInArrow(run, "rep long, leader long, linked boolean")
+
+
+def _rest_links(rest: DataFrame, others: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """rest and others (key, rep) with nr and no, the blocks of each side of the bucket: links (a, b) that join what is similar across the two sides."""
     parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     deal = lambda df, side, own, other: (
-        df.withColumn("mine", F.pmod(F.xxhash64("rep"), F.ceil(F.col(own) / block)))
-        .withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(other) / block) - 1)))
-        .select("key", F.col("mine" if side == 0 else "theirs").alias("x"), F.col("theirs" if side == 0 else "mine").alias("y"), F.lit(side).alias("side"), "rep", "n", "fp")
+        df.withColumn("mine", F.pmod(F.xxhash64("rep"), own))
+        .withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
+        .select("key", F.col("mine" if side == 0 else "theirs").alias("x"), F.col("theirs" if side == 0 else "mine").alias("y"), F.lit(side).alias("side"), "rep")
     )
-    dealt = deal(rest, 0, "nr", "no").unionByName(deal(others, 1, "no", "nr")).repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "rep")
+    dealt = deal(rest, 0, "nr", "no").unionByName(deal(others, 1, "no", "nr")).join(sets, "rep").select("key", "x", "y", "side", "rep", "s").repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "side", "rep")
 
-    def compared(held):
-        side, rep, n, fp = (np.concatenate([h[i] for h in held]) for i in range(4))
+    def compared(side, rep, found):
         p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(p) or not len(q):
             return
-        label = np.arange(len(rep))
-        for at in range(0, len(p), 256):
-            i = p[at : at + 256]
-            d = np.zeros((len(i), len(q)), np.int64)
-            for s in range(fp.shape[1]):
-                d += np.bitwise_count(fp[i, s][:, None] ^ fp[q, s][None, :])
-            both = np.cos(d * (math.pi / bits)) * np.sqrt(n[i].astype(float)[:, None] * n[q][None, :])
-            a, b = np.nonzero(both >= least * (n[i][:, None] + n[q][None, :] - both) - 1e-9)
-            unite(label, i[a], q[b])
+        label, size = np.arange(len(rep)), np.array([len(found[i]) for i in q])
+        owner, flat = np.repeat(np.arange(len(q)), size), np.concatenate([found[i] for i in q])
+        order = np.argsort(flat, kind="stable")
+        owner, flat = owner[order], flat[order]
+        for i in p:
+            lo, hi = np.searchsorted(flat, found[i], "left"), np.searchsorted(flat, found[i], "right")
+            many = hi - lo
+            met = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            like = np.flatnonzero(_similar(np.bincount(owner[met], minlength=len(q)), len(found[i]), size, similarity))
+            unite(label, np.full(len(like), i), q[like])
         child = np.flatnonzero(label != np.arange(len(rep)))
         if len(child):
             yield pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[label[child]])], ["a", "b"])
 
     def run(batches):
         key, held = None, []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
-            cols = (b.column(3).to_numpy(), b.column(4).to_numpy(), b.column(5).to_numpy().astype(np.int64), b.column(6).flatten().to_numpy().reshape(b.num_rows, -1))
-            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if (now := tuple(k[lo].tolist())) != key:
-                    if held:
-                        yield from compared(held)
-                    key, held = now, []
-                held.append(tuple(c[lo:hi] for c in cols))
+        gathered = lambda: (np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), [x for h in held for x in h[2]])
+        for now, (side, rep), found in _rows_of(batches, 3):
+            if now != key:
+                if held:
+                    yield from compared(*gathered())
+                key, held = now, []
+            held.append((side, rep, found))
         if held:
-            yield from compared(held)
+            yield from compared(*gathered())
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tolerance: float = 0.04, segments: int = 10, width: int = 24, weak: int = 6, block: int = 2000) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 1e-5, rows: int = 4, first: int = 4, block: int = 2000) -> DataFrame:
     """docs(id, tie, text): (id, tie, grp) for every row; rows of one grp are similar, directly or over others."""
-    bits, least = segments * width, similarity - tolerance
-    rows = save(wide_fingerprints(docs, words, segments, width, weak), "wide")
-    classes = save(rows.groupBy("rep").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("weak").alias("weak")), "wide-classes")
-    fps = classes.select("rep", "n", "fp")
-    one = F.lit(1).cast("long")
-    number = lambda k, s: k + s.cast("long") * F.lit(1 << width)
-    balls = F.zip_with("fp", "weak", lambda f, m: F.concat(F.array(f), F.transform(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.call_function("shiftright", m, b).bitwiseAND(one) == 1), lambda b: f.bitwiseXOR(F.call_function("shiftleft", one, b)))))
-    d = sum((F.bit_count(F.col("fp")[i].bitwiseXOR(F.col("fp2")[i])) for i in range(1, segments)), F.bit_count(F.col("fp")[0].bitwiseXOR(F.col("fp2")[0])))
+    bands = max(first, math.ceil(math.log(missed) / math.log1p(-min(similarity, 0.999) ** rows)))
+    table = save(shingle_sets(docs, words, bands, rows), "sets")
+    classes = save(table.groupBy("rep").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")), "set-classes")
+    every = save(classes.select("rep", "at", "n", F.posexplode("keys").alias("band", "key")), "set-keys")
+    keys = save(every.join(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "set-shared")
+    # Only sets that meet another are read again.
+    sets = save(table.select("at", "rep", "s").join(small(save(keys.select("at").distinct(), "set-met")), "at", "left_semi").select("rep", "s"), "set-candidates")
 
     def by_leader(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """keys(rep, grp, key): members (rep, key, size, leader) of buckets, those of its least one's grp aside; (rep, leader, linked)."""
-        buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("leader"), F.min_by("grp", "rep").alias("with"), F.min("grp").alias("low"), F.max("grp").alias("high"))
-        member = save(keys.join(buckets.where("low <> high"), "key").where("grp <> with").select("rep", "key", "size", "leader"), "wide-members")
-        near = member.select("rep", "leader").distinct().join(fps, "rep").join(fps.select(F.col("rep").alias("leader"), F.col("n").alias("n2"), F.col("fp").alias("fp2")), "leader")
-        return member, save(near.select("rep", "leader", (_estimate(d, F.col("n"), F.col("n2"), bits) >= least).alias("linked")), "wide-near")
-
-    # First by equal segments, to find most of a large group in few comparisons. What is together then is not compared again.
-    _, near = by_leader(classes.select("rep", F.col("rep").alias("grp"), F.explode(F.transform("fp", number)).alias("key")))
-    first = near.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    so_far = classes.join(components(first).select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("grp", F.coalesce("component", "rep"))
-    numbered = F.flatten(F.transform(balls, lambda ball, s: F.transform(ball, lambda k: number(k, s))))
-    keys = save(so_far.select("rep", "grp", F.explode(numbered).alias("key")), "wide-keys")
-    member, near = by_leader(keys)
-    second = near.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    together = save(components(save(first.unionByName(second), "wide-edges")), "wide-together")
-    # What the least one of a bucket does not link, not over third ones either, is compared with all others of the bucket.
-    rest = member.where("size > 2").join(near.where("NOT linked"), ["rep", "leader"], "left_semi")
+        """keys(rep, n, grp, key): members (rep, n, key, leader, size, total, sign) of buckets, those of its least one's grp aside; (rep, leader, linked)."""
+        buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rep")).alias("sign"), F.min("rep").alias("leader"), F.min_by("grp", "rep").alias("with"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+        member = save(keys.join(buckets.where("low <> high"), "key").where("grp <> with").select("rep", "n", "key", "size", "total", "sign", "leader"), "set-members")
+        return member, save(_verified(member.select("rep", "leader").distinct(), sets, similarity, block), "set-near")
+
+    # First by a few bands, to find most of a large group in few comparisons. What is together then is not compared again.
+    _, near = by_leader(keys.where(F.col("band") < first).withColumn("grp", F.col("rep")))
+    linked = near.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b"))
+    so_far = keys.join(components(linked).select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("grp", F.coalesce("component", "rep"))
+    member, near = by_leader(so_far)
+    linked = linked.unionByName(near.where("linked").select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+    together = save(components(save(linked, "set-edges")), "set-together")
+    # What the least one of a bucket does not link, not over third ones either, is compared with all others of the bucket; of buckets with the same members, one is.
+    rest = member.where("size > 2").join(near.where("NOT linked").select("rep", "leader"), ["rep", "leader"], "left_semi")
     for end in ("rep", "leader"):
         rest = rest.join(together.select(F.col("node").alias(end), F.col("component").alias(f"{end}_grp")), end, "left").withColumn(f"{end}_grp", F.coalesce(f"{end}_grp", end))
-    rest = save(rest.where("rep_grp <> leader_grp").select("key", "rep", "size", "leader"), "wide-rest")
-    left = rest.groupBy("key", "size", "leader").agg(F.count("*").alias("nr"))
-    others = keys.join(left, "key").where("rep <> leader").select("key", "rep", (F.col("size") - 1).alias("no"), "nr").join(fps, "rep")
-    rest = rest.join(left.select("key", "nr"), "key").select("key", "rep", (F.col("size") - 1).alias("no"), "nr").join(fps, "rep")
-    edges = together.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_rest_links(rest, others, bits, least, block))
+    rest = save(rest.where("rep_grp <> leader_grp").select("key", "rep", "n", "leader", "size", "total", "sign"), "set-rest")
+    blocks = lambda count, shingles: F.ceil(F.greatest(F.col(count) / block, F.col(shingles) / (block * 500)))
+    left = rest.groupBy("key", "leader", "size", "total", "sign").agg(F.count("*").alias("own"), F.sum("n").alias("held"))
+    left = left.groupBy("leader", "size", "sign").agg(F.min(F.struct("key", "total", "own", "held")).alias("b")).select("leader", "size", "b.*")
+    left = save(left.select("key", "leader", blocks("own", "held").alias("nr"), blocks("size", "total").alias("no")), "set-left")
+    others = keys.select("key", "rep").join(left, "key").where("rep <> leader").select("key", "rep", "no", "nr")
+    rest = rest.select("key", "rep").join(left, "key").select("key", "rep", "no", "nr")
+    edges = together.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_rest_links(rest, others, sets, similarity))
     comp = components(edges)
-    return rows.select("id", "tie", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "tie", F.coalesce("component", "rep").alias("grp"))
+    return table.select("id", "tie", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "tie", F.coalesce("component", "rep").alias("grp"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -128,6 +128,35 @@ def test_similar_documents_share_a_group_and_others_do_not(spark):
         assert all(loose[i] == loose[j] for i, j, _ in pairs if grp[i] == grp[j])
 
 
+def test_the_similarity_decides_on_both_sides(spark):
+    """Pairs of 40 to 400 words just at and just below 0.8, none similar to another pair: each is linked as its shingles say."""
+    rng, texts = random.Random(8), []
+    for _ in range(400):
+        w = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(40, 400))]
+        n = len(w) - 4
+        below = rng.random() < 0.5
+        # The end is cut: similarity is what remains of n.
+        keep = -(-4 * n // 5) - (rng.randint(1, max(1, n // 20)) if below else 0)
+        texts += [" ".join(w), " ".join(w[: keep + 4])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("tie", F.xxhash64("text"))
+    grp = {r.id: r.grp for r in simhash.similar_groups(docs).collect()}
+    want = [jaccard(shingles(texts[i]), shingles(texts[i + 1])) >= 0.8 for i in range(0, len(texts), 2)]
+    assert 100 < sum(want) < 300 and [grp[i] == grp[i + 1] for i in range(0, len(texts), 2)] == want
+
+
+def test_groups_of_a_family_are_those_of_all_pairs(spark):
+    """Variants of one text around 0.8, also in blocks of a few rows."""
+    rng = random.Random(9)
+    base = cases.prose(rng, 150)
+    texts = [changed(rng, base, rng.choice([1, 2, 3, 4])) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("tie", F.xxhash64("text"))
+    sets = [shingles(t) for t in texts]
+    want = closure(range(80), [(i, j) for i in range(80) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    for block in (2000, 3):
+        grp = {r.id: r.grp for r in simhash.similar_groups(docs, block=block).collect()}
+        assert all((grp[i] == grp[j]) == (want[i] == want[j]) for i in range(80) for j in range(i))
+
+
 def test_one_of_each_group_stays(spark):
     rng = random.Random(7)
     a, b = cases.prose(rng, 200), cases.prose(rng, 200)
