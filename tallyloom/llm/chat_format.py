@@ -26,6 +26,8 @@ from tallyloom.llm.common import drop, ready, save
 
 SIGN = "␛"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+#: The tree of the turns without a conv_id, among ids as text.
+NO_ID = "null"
 CONTROL = (OPEN, CLOSE, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
 
@@ -97,7 +99,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 turns = read_turns(text)
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
                 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-                rows.append((tree, len(turns), sha("".join(f"{role}\n{said}\n" for role, said in turns)), len(loss), sha(loss), len(text)))
+                rows.append((None if tree in (None, NO_ID) else int(tree), len(turns), sha("".join(f"{role}\n{said}\n" for role, said in turns)), len(loss), sha(loss), len(text)))
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
@@ -105,10 +107,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def chains(conversations: DataFrame) -> DataFrame:
-    """Linear conversations (conv_id, turn, role, text) as trees: each turn replies to the one before. Rows that share a turn follow one another by role and text."""
+    """Linear conversations (conv_id, turn, role, text) as trees: each turn replies to the one before. Rows that share a turn follow one another by role and text. Rows of a null conv_id are one conversation, so tree_id is text."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     n = F.row_number().over(order).cast("long")
-    return conversations.select("conv_id", "turn", "role", "text").withColumn("msg_id", n).select(F.col("conv_id").cast("long").alias("tree_id"), "msg_id", F.expr("IF(msg_id = 1, NULL, msg_id - 1)").alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
+    return conversations.select("conv_id", "turn", "role", "text").withColumn("msg_id", n).select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(NO_ID)).alias("tree_id"), "msg_id", F.expr("IF(msg_id = 1, NULL, msg_id - 1)").alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

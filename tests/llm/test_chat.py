@@ -70,6 +70,14 @@ def test_conversations(spark):
     assert cases.tuples(got.drop("formatted_chars")) == sorted(brute(rows), key=repr)
 
 
+def test_turns_without_a_conversation_are_one_of_their_own(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (0, 0, "user", "c"), (-1, 0, "assistant", "d"), (None, 2, "user", None)]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    said = sorted(r for r in brute([(-5 if r[0] is None else r[0], *r[1:]) for r in rows]))
+    want = [(None if r[0] == -5 else r[0], *r[1:]) for r in said]
+    assert cases.tuples(got.drop("formatted_chars")) == sorted(want, key=repr)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="␛01<|im_start>end/s[]INSTY\n ", max_size=40))
 def test_no_control_string_survives_and_escaping_is_reversible(text):
