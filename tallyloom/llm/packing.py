@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFrame:
         encoder = TextEncoder.of(tokenizer)
         for b in batches:
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
+            for doc, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1))):
                 raw = np.append(ids.astype("<u4"), np.uint32(END_ID)).astype("<u4")
                 rows += [(doc, k, at, len(cut := raw[at : at + capacity]), zlib.crc32(cut.tobytes())) for k, at in enumerate(range(0, len(raw), capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -164,7 +164,7 @@ def sequences(packed: DataFrame, docs: DataFrame, tokenizer: str, capacity: int
         encoder = TextEncoder.of(tokenizer)
         for b in batches:
             out = []
-            for text, cuts in zip(encoder.encode(b.column(0).to_pylist()), b.column(1).to_pylist()):
+            for text, cuts in zip(encoder.encode(b.column(0)), b.column(1).to_pylist()):
                 ids = np.append(text.astype("<i4"), np.int32(END_ID))
                 out += [(x["sequence_id"], x["offset"], ids[x["start"] : x["start"] + x["length"]].tolist()) for x in cuts]
             if out:

@@ -1,14 +1,18 @@
 """Token ids in wavelet matrices, one compressed file per shard.
 
 A shard holds the ids of some documents in ascending order of doc_id. Level l of its matrix has bit (levels - 1 - l) of every
-id, in an order where each level's zeros precede its ones; bits are kept in compressed blocks with the count of ones
-before each block, so access, rank and select open a few blocks and never the whole file.
+id, in an order where each level's zeros precede its ones. Bits are kept in compressed blocks, under a directory in two steps: the ones
+before each block, and in each block the ones before each of its stretches. Rank counts the bits of one stretch, select searches both
+steps, so access, rank, count and select read the directory once and then a block a level: with WaveletMatrix.open() only these ranges
+of the file are read. ids(), ranks() and positions() answer for many places at once, from whole bit-planes.
 
-File: 8 bytes of magic, 8 bytes of header length, header (JSON: counts, levels, offsets), doc ids and lengths, blocks.
+File: 8 bytes of magic, 8 bytes of header length, header (JSON: n, levels, type, ones of each level, place and size of the parts),
+doc ids and lengths, directory (per level and block: ones before, place, size; then the counts of stretches), blocks.
 
 Null texts count as empty: only the end id. Null ids come first in the order; rows that share an id are kept, in the order of a hash of their texts, so that
-one id with many texts spans shards.
-Other columns are ignored.
+one id with many texts spans shards. Other columns are ignored. An empty table makes no shard, and no row comes back.
+
+Shards are written and read in Python workers by pyarrow's file systems: the shared folder must be one that they know (a local or mounted folder, HDFS, S3, GCS).
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,27 +32,47 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import fresh, ready
 from tallyloom.llm.tokens import END_ID, TextEncoder
 
-MAGIC = b"TLWMTX01"
-BLOCK = 1 << 16  # bits
+MAGIC = b"TLWMTX02"
+BLOCK, STRETCH = 1 << 16, 1 << 11  # bits
+PIECE = 1 << 15  # ids that are dealt to the next level at a time: they fit a core's cache
 NULL_ID = -(1 << 63)
 MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long"
 
 
 class WaveletMatrix:
-    """Access, rank and select over a sequence of ids from the bytes of one file."""
+    """Access, rank and select over a sequence of ids, from the bytes of one file or from a function read(at, size)."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, data: bytes | Callable[[int, int], bytes]):
+        self.read = data if callable(data) else lambda at, size, held=memoryview(data): held[at : at + size]
+        first = bytes(self.read(0, 16))
+        if first[:8] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        size = int.from_bytes(data[8:16], "little")
-        self.head = json.loads(data[16 : 16 + size])
-        self.data, self.base, self.n, self.levels = memoryview(data), 16 + size, self.head["n"], self.head["levels"]
+        size = int.from_bytes(first[8:16], "little")
+        head = json.loads(bytes(self.read(16, size)))
+        self.base, self.n, self.levels, self.type, self.docs = 16 + size, head["n"], head["levels"], np.dtype(head["type"]), head["docs"]
+        self.zeros = [self.n - x for x in head["ones"]]
+        blocks, stretches = -(-self.n // BLOCK), BLOCK // STRETCH
+        raw = self._raw(head["directory"])
+        cut = 3 * 8 * self.levels * blocks
+        self.before, self.at, self.size = np.frombuffer(raw[:cut], "<i8").reshape(3, self.levels, blocks)
+        self.inside = np.frombuffer(raw[cut:], "<u2").reshape(self.levels, blocks, stretches)
         self.kept: dict[tuple[int, int], np.ndarray] = {}
 
+    @staticmethod
+    @contextmanager
+    def open(path: str):
+        """The matrix of a file, of which only the ranges that a question needs are read."""
+        store, at = _open(path)
+        with store.open_input_file(at) as f:
+            yield WaveletMatrix(lambda at, size: f.read_at(size, at))
+
     @staticmethod
     def build(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], levels: int = 16) -> bytes:
-        x, body, at, table = ids, [], 0, []
+        x, y, body, at = ids.copy(), np.empty_like(ids), [], 0
         pack = zstandard.ZstdCompressor(level=1)
+        blocks = -(-len(ids) // BLOCK)
+        entry = np.zeros((3, levels, blocks), "<i8")
+        inside = np.zeros((levels, blocks, BLOCK // STRETCH), "<u2")
 
         def put(raw: bytes) -> list[int]:
             nonlocal at
@@ -55,35 +81,56 @@ class WaveletMatrix:
             return [at - len(body[-1]), len(body[-1])]
 
         docs = [put(np.array([NULL_ID if d is None else d for d in doc_ids], "<i8").tobytes()), put(np.array(lengths, "<i8").tobytes())]
+        ones = []
         for level in range(levels):
             bit = (x & x.dtype.type(1 << (levels - 1 - level))) != 0
             raw = np.packbits(bit, bitorder="little")
-            ones = [int(np.count_nonzero(bit[i : i + BLOCK])) for i in range(0, len(x), BLOCK)]
-            table.append({"zeros": len(x) - sum(ones), "before": np.concatenate(([0], np.cumsum(ones, dtype=np.int64))).tolist(), "blocks": [put(raw[i : i + BLOCK // 8].tobytes()) for i in range(0, len(raw), BLOCK // 8)]})
-            x = np.concatenate((x.take(np.flatnonzero(~bit)), x.take(np.flatnonzero(bit))))
-        head = json.dumps({"n": len(ids), "levels": levels, "type": ids.dtype.str, "docs": docs, "bits": table}).encode()
+            each = np.zeros(blocks * (BLOCK // STRETCH), np.int64)
+            each[: -(-len(raw) // (STRETCH // 8))] = np.add.reduceat(np.bitwise_count(raw), np.arange(0, len(raw), STRETCH // 8), dtype=np.int64) if len(raw) else 0
+            each = each.reshape(blocks, BLOCK // STRETCH)
+            inside[level] = np.cumsum(each, axis=1) - each
+            entry[0, level] = np.cumsum(each.sum(1)) - each.sum(1)
+            for k in range(blocks):
+                entry[1:, level, k] = put(raw[k * (BLOCK // 8) : (k + 1) * (BLOCK // 8)].tobytes())
+            ones.append(int(each.sum()))
+            zero, one = 0, len(x) - ones[-1]
+            for i in range(0, len(x), PIECE):
+                part, bits = x[i : i + PIECE], bit[i : i + PIECE]
+                high, low = np.flatnonzero(bits), np.flatnonzero(~bits)
+                part.take(low, out=y[zero : zero + len(low)], mode="clip")
+                part.take(high, out=y[one : one + len(high)], mode="clip")
+                zero, one = zero + len(low), one + len(high)
+            x, y = y, x
+        directory = put(entry.tobytes() + inside.tobytes())
+        head = json.dumps({"n": len(ids), "levels": levels, "type": ids.dtype.str, "docs": docs, "directory": directory, "ones": ones}).encode()
         return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *body])
 
-    def _raw(self, place: list[int]) -> bytes:
-        at = self.base + place[0]
-        return zstandard.ZstdDecompressor().decompress(self.data[at : at + place[1]])
+    def _raw(self, place) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(self.read(self.base + int(place[0]), int(place[1])))
 
     def documents(self) -> tuple[list[int | None], np.ndarray]:
-        ids, lengths = (np.frombuffer(self._raw(x), "<i8") for x in self.head["docs"])
+        ids, lengths = (np.frombuffer(self._raw(x), "<i8") for x in self.docs)
         return [None if d == NULL_ID else d for d in ids.tolist()], lengths
 
+    # One place at a time, by blocks.
+
     def _block(self, level: int, k: int) -> np.ndarray:
         if (level, k) not in self.kept:
-            self.kept[level, k] = np.unpackbits(np.frombuffer(self._raw(self.head["bits"][level]["blocks"][k]), np.uint8), bitorder="little")
+            self.kept[level, k] = np.frombuffer(self._raw((self.at[level, k], self.size[level, k])), np.uint8)
         return self.kept[level, k]
 
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first i bits of a level."""
+        if i >= self.n:
+            return self.n - self.zeros[level]
         k, r = divmod(i, BLOCK)
-        return self.head["bits"][level]["before"][k] + (int(np.count_nonzero(self._block(level, k)[:r])) if r else 0)
+        s, byte = r // STRETCH, r // 8
+        raw = self._block(level, k)
+        last = int(raw[byte]) & ((1 << r % 8) - 1) if r % 8 else 0
+        return int(self.before[level, k]) + int(self.inside[level, k, s]) + int(np.bitwise_count(raw[s * (STRETCH // 8) : byte]).sum(dtype=np.int64)) + last.bit_count()
 
     def _bit(self, level: int, i: int) -> int:
-        return int(self._block(level, i // BLOCK)[i % BLOCK])
+        return int(self._block(level, i // BLOCK)[i % BLOCK // 8]) >> i % 8 & 1
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -93,14 +140,14 @@ class WaveletMatrix:
         for level in range(self.levels):
             bit, ones = self._bit(level, i), self._ones(level, i)
             out = out << 1 | bit
-            i = self.head["bits"][level]["zeros"] + ones if bit else i - ones
+            i = self.zeros[level] + ones if bit else i - ones
         return out
 
     def _range(self, symbol: int, i: int) -> tuple[int, int]:
         """Of the last level: where symbol starts, and where its occurrences among the first i end."""
         lo = 0
         for level in range(self.levels):
-            a, b, zeros = self._ones(level, lo), self._ones(level, i), self.head["bits"][level]["zeros"]
+            a, b, zeros = self._ones(level, lo), self._ones(level, i), self.zeros[level]
             lo, i = (zeros + a, zeros + b) if symbol >> (self.levels - 1 - level) & 1 else (lo - a, i - b)
         return lo, i
 
@@ -123,30 +170,67 @@ class WaveletMatrix:
             raise IndexError(k)
         at = lo + k
         for level in reversed(range(self.levels)):
-            row = self.head["bits"][level]
             bit = symbol >> (self.levels - 1 - level) & 1
-            at = self._nth(level, bit, at - row["zeros"] if bit else at)
+            at = self._nth(level, bit, at - self.zeros[level] if bit else at)
         return at
 
     def _nth(self, level: int, bit: int, k: int) -> int:
-        """The place of the k-th one or zero of a level."""
-        before = self.head["bits"][level]["before"]
-        ranks = np.array(before) if bit else np.minimum(np.arange(len(before)) * BLOCK, self.n) - np.array(before)
-        b = int(np.searchsorted(ranks, k, side="right")) - 1
-        return b * BLOCK + int(np.flatnonzero(self._block(level, b) == bit)[k - int(ranks[b])])
+        """The place of the k-th one or zero of a level: its block, its stretch, then its bit."""
+        starts = self.before[level] if bit else np.arange(len(self.before[level])) * BLOCK - self.before[level]
+        b = int(np.searchsorted(starts, k, side="right")) - 1
+        k -= int(starts[b])
+        inside = self.inside[level, b].astype(np.int64)
+        inside = inside if bit else np.arange(len(inside)) * STRETCH - inside
+        s = int(np.searchsorted(inside, k, side="right")) - 1
+        bits = np.unpackbits(self._block(level, b)[s * (STRETCH // 8) : (s + 1) * (STRETCH // 8)], bitorder="little")
+        return b * BLOCK + s * STRETCH + int(np.flatnonzero(bits == bit)[k - int(inside[s])])
+
+    # Many places at a time, by planes.
+
+    def _plane(self, level: int) -> np.ndarray:
+        return np.frombuffer(b"".join(self._raw(x) for x in zip(self.at[level], self.size[level])), np.uint8)
+
+    def _bits(self, level: int) -> np.ndarray:
+        return np.unpackbits(self._plane(level), count=self.n, bitorder="little").view(bool)
 
     def ids(self) -> np.ndarray:
         """All ids, from the last level up."""
-        x = np.zeros(self.n, self.head["type"])
+        x, y = np.zeros(self.n, self.type), np.empty(self.n, self.type)
         for level in reversed(range(self.levels)):
-            raw = b"".join(self._raw(b) for b in self.head["bits"][level]["blocks"])
-            bit = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little")
-            zeros, y = self.head["bits"][level]["zeros"], np.empty_like(x)
-            y[np.flatnonzero(bit == 0)] = x[:zeros]
-            y[np.flatnonzero(bit)] = x[zeros:] | x.dtype.type(1 << (self.levels - 1 - level))
-            x = y
+            bits, zero, one = self._bits(level), 0, self.zeros[level]
+            x[one:] |= self.type.type(1 << (self.levels - 1 - level))
+            for i in range(0, self.n, PIECE):
+                part = y[i : i + PIECE]
+                high, low = np.flatnonzero(bits[i : i + PIECE]), np.flatnonzero(~bits[i : i + PIECE])
+                part[low], part[high] = x[zero : zero + len(low)], x[one : one + len(high)]
+                zero, one = zero + len(low), one + len(high)
+            x, y = y, x
         return x
 
+    def ranks(self, symbol: int, places: np.ndarray) -> np.ndarray:
+        """rank() at each of many places."""
+        at = np.concatenate(([0], np.minimum(places, self.n))).astype(np.int64)
+        if symbol >> self.levels:
+            return np.zeros(len(places), np.int64)
+        for level in range(self.levels):
+            raw = self._plane(level)
+            words = np.frombuffer(raw.tobytes() + bytes(16 - len(raw) % 8), "<u8")
+            before = np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words)
+            ones = before[at >> 6] + np.bitwise_count(words[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            at = self.zeros[level] + ones if symbol >> (self.levels - 1 - level) & 1 else at - ones
+        return at[1:] - at[0]
+
+    def positions(self, symbol: int) -> np.ndarray:
+        """select() of every occurrence of symbol, ascending."""
+        if symbol >> self.levels:
+            return np.empty(0, np.int64)
+        lo, hi = self._range(symbol, self.n)
+        at = np.arange(lo, hi)
+        for level in reversed(range(self.levels) if hi > lo else ()):
+            bit = symbol >> (self.levels - 1 - level) & 1
+            at = np.flatnonzero(self._bits(level) == bit)[at - self.zeros[level] if bit else at]
+        return at
+
 
 def _open(path: str):
     """(file system, path in it) of a URI that pyarrow knows, or of a local path."""
@@ -183,7 +267,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, shard_tokens: int =
             return row
 
         for b in batches:
-            for doc, got in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
+            for doc, got in zip(b.column(0).to_pylist(), encoder.encode(b.column(1))):
                 doc_ids.append(doc)
                 ids.append(np.concatenate((got, end)))
                 held += len(got) + 1
@@ -211,7 +295,7 @@ def starts(manifest: DataFrame) -> DataFrame:
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
-    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32."""
+    """One row per document, from the files: doc_id, start, n_tokens, ids_crc32, and n_ends: how often the end id's number occurs among its ids, by rank."""
 
     def run(batches):
         for b in batches:
@@ -221,12 +305,29 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     matrix = WaveletMatrix(f.read())
                 ids, (docs, lengths) = matrix.ids().astype("<u4"), matrix.documents()
                 ends = np.cumsum(lengths)
-                crcs = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), lengths.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                crcs = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), lengths.tolist())]
+                found = matrix.ranks(END_ID, ends)
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64()), pa.array(np.diff(found, prepend=0))], ["doc_id", "start", "n_tokens", "ids_crc32", "n_ends"])
 
     dealt = starts(manifest).select("path", "start")
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_ends long")
+
+
+def occurrences(manifest: DataFrame, symbol: int) -> DataFrame:
+    """Every place of an id, looked up in the shards: doc_id, at (from 0, in the document)."""
+
+    def run(batches):
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                with WaveletMatrix.open(path) as matrix:
+                    places, (docs, lengths) = matrix.positions(symbol), matrix.documents()
+                ends = np.cumsum(lengths)
+                of = np.searchsorted(ends, places, side="right")
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()).take(pa.array(of)), pa.array(places - (ends - lengths)[of])], ["doc_id", "at"])
+
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path").repartition(parts).mapInArrow(run, "doc_id long, at long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -121,6 +121,8 @@ def test_wavelet_matrix(ids):
         places = [i for i, v in enumerate(ids) if v == s]
         assert m.count(s) == len(places) and [m.select(s, k) for k in range(len(places))] == places
         assert m.rank(s, len(ids) // 2) == sum(p < len(ids) // 2 for p in places)
+        assert m.positions(s).tolist() == places
+        assert m.ranks(s, np.arange(len(ids) + 1)).tolist() == [sum(p < i for p in places) for i in range(len(ids) + 1)]
         with pytest.raises(IndexError):
             m.select(s, len(places))
 
@@ -132,6 +134,28 @@ def test_wavelet_over_many_blocks():
         s = int(x[i])
         assert m.access(i) == s and m.select(s, m.rank(s, i)) == i
     assert (m.ids() == x).all()
+    assert (m.ranks(int(x[9]), np.arange(0, 200_001, 997)) == [np.count_nonzero(x[:i] == x[9]) for i in range(0, 200_001, 997)]).all()
+    assert (m.positions(int(x[9])) == np.flatnonzero(x == x[9])).all()
+
+
+def test_a_question_reads_ranges_of_the_file(tmp_path):
+    x = (np.random.default_rng(2).zipf(1.3, 2_000_000) % 49_000).astype("<u2")
+    data = wavelet.WaveletMatrix.build(x, [1], [len(x)])
+    (tmp_path / "x.wm").write_bytes(data)
+    with wavelet.WaveletMatrix.open(str(tmp_path / "x.wm")) as m:
+        read, sizes = m.read, []
+        m.read = lambda at, size: sizes.append(size) or read(at, size)
+        assert m.access(1_234_567) == x[1_234_567]
+        assert m.rank(7, 1_000_000) == np.count_nonzero(x[:1_000_000] == 7)
+        assert m.select(7, 1000) == np.flatnonzero(x == 7)[1000]
+    assert 0 < sum(sizes) < len(data) / 4
+
+
+def test_occurrences(spark, tmp_path):
+    manifest = wavelet.write_shards(cases.frame(spark), word_bpe(), f"file://{tmp_path}/shards", shard_tokens=500)
+    got = wavelet.occurrences(manifest, END_ID).collect()
+    want = sorted((r[0], at) for r in cases.rows() if r[0] is not None for at, x in enumerate([*plain_ids(r[1]), END_ID]) if x == END_ID)
+    assert sorted((r.doc_id, r["at"]) for r in got if r.doc_id is not None) == want
 
 
 def test_shards(spark):
