@@ -25,7 +25,12 @@ BETA = (-0.370393911, 0.070471823, 0.17393686, 0.16339839, -0.09237745, 0.037380
 
 def registers(values: pa.Array) -> np.ndarray:
     """register * 64 + rho of each string: the register is the hash's top 14 bits, rho one more than the zeros that follow."""
-    h = murmur64(values) | np.uint64(1)
+    return registers_of(murmur64(values))
+
+
+def registers_of(h: np.ndarray) -> np.ndarray:
+    """The same of hashes."""
+    h = h | np.uint64(1)
     rest = h << np.uint64(P)
     # Smear the highest bit down; what is left above it are the leading zeros.
     for shift in (1, 2, 4, 8, 16, 32):
@@ -40,19 +45,20 @@ def register_of(values: pd.Series) -> pd.Series:
 
 
 def exact_partial(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value): keys and the state of each group's non-empty strings. Strings are made distinct by group before they are hashed."""
-    each = rows.where(F.col(value).isNotNull() & (F.col(value) != "")).select(*keys, value).distinct()
-    return _collected(each.select(*keys, register_of(value).alias("at")), keys, value)
+    """(keys, value): keys and the state of each group's non-empty strings. Strings are hashed where they are: a task sends on the greatest rho
+    of each register and group, 16,384 numbers a group at most, however many strings there are."""
+    each = rows.where(F.col(value).isNotNull() & (F.col(value) != "")).select(*keys, value)
+    return _collected(each.select(*keys, register_of(value).alias("_at")), keys, value)
 
 
 def exact_merge(states: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value): the register-wise maximum of states."""
-    return _collected(states.select(*keys, F.explode(value).alias("at")), keys, value)
+    return _collected(states.select(*keys, F.explode(value).alias("_at")), keys, value)
 
 
 def _collected(each: DataFrame, keys: list[str], value: str) -> DataFrame:
-    by_register = each.groupBy(*keys, F.shiftright("at", 6).alias("register")).agg(F.max(F.col("at").bitwiseAND(63)).alias("rho"))
-    packed = F.col("register") * 64 + F.col("rho")
+    by_register = each.groupBy(*keys, F.shiftright("_at", 6).alias("_register")).agg(F.max(F.col("_at").bitwiseAND(63)).alias("_rho"))
+    packed = F.col("_register") * 64 + F.col("_rho")
     return by_register.groupBy(*keys).agg(F.sort_array(F.collect_list(packed.cast("int"))).alias(value))
 
 

@@ -89,7 +89,7 @@ def execute(schema: Schema, query: ResolvedQuery, state: DataFrame, mode: str =
     """state: the view's rows of states, of which several may share a key unless merged. Returns dimensions, then metrics, by name, ordered by dimensions.
 
     A query without dimensions has one row, or none if nothing matched. Without metrics, rows are distinct. max_rows raises
-    ResultTooLarge for a result that has more; it runs the query once to find out.
+    ResultTooLarge for a result that has more: the query runs once, to at most one row more than that, and those rows are what is returned.
     """
     check_tags(schema, query)
     view_dims = [schema.dimension(n) for n in schema.views[query.view].view.dimensions]
@@ -106,8 +106,11 @@ def execute(schema: Schema, query: ResolvedQuery, state: DataFrame, mode: str =
     if not (merged and keys == [c for c in state.columns if c.startswith("d")]):
         state = roll_up(state.select(*dict.fromkeys([*(view_key if gauges else keys), *(i[0] for i in items)])), keys, items, view_key, mode)
     out = state.select(*(F.col(dim(t)).alias(schema.dimensions[t].name) for t in query.dimensions), *(metrics.flatten(s.type, F.col(met(s.tag)), mode).alias(s.name) for s in specs))
-    if max_rows is not None and out.limit(max_rows + 1).count() > max_rows:
-        raise ResultTooLarge("result set is too large for buffering")
+    if max_rows is not None:
+        out = out.limit(max_rows + 1).persist()
+        if out.count() > max_rows:
+            out.unpersist()
+            raise ResultTooLarge("result set is too large for buffering")
     order = [k for t in query.dimensions for k in sort_keys(F.col(f"`{schema.dimensions[t].name}`"), schema.dimensions[t].type)]
     return out.orderBy(*order) if order else out
 

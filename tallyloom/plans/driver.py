@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +42,7 @@ def sources(sf_dir: str) -> Sources:
 
 
 def source_of(spark: SparkSession, sf_dir: str, view: str, of: Schema | None = None) -> DataFrame:
-    """The rows that a view's relation selects."""
+    """The rows that a view's relation selects, of all its sources."""
     of = of or schema()
     found = sources(sf_dir).select(of.relation(of.view(view).relation).selector)
-    return found[0].read(spark)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (s.read(spark) for s in found))

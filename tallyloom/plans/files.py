@@ -47,6 +47,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def modified(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """(name, modification time in seconds) of what a folder holds; nothing if it is not there."""
+    at, fs = _path(spark, path)
+    return sorted((s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    at, fs = _path(spark, path)
+    fs.create(at, True).close()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     at, fs = _path(spark, path)
     stream = fs.open(at)
@@ -95,8 +107,16 @@ class Versions:
         return max(numbers), json.loads(read_text(self.spark, self._file(max(numbers))))
 
     def commit(self, after: int, document: Any) -> int:
+        """Writes document as the successor of version `after`; raises AlreadyThere if it has one, also one that has been pruned meanwhile."""
+        if max(self._numbers(), default=0) > after:
+            raise AlreadyThere(self._file(after + 1))
         create_text(self.spark, self._file(after + 1), json.dumps(document))
-        for old in self._numbers():
+        numbers = self._numbers()
+        # Versions go in ascending order. If `after` is still there, then no successor of it has been pruned, so this is the first.
+        if (after not in numbers) if after else (max(numbers) > self.keep):
+            delete(self.spark, self._file(after + 1))
+            raise AlreadyThere(self._file(after + 1))
+        for old in sorted(numbers):
             if old <= after + 1 - self.keep:
                 delete(self.spark, self._file(old))
         return after + 1

@@ -340,3 +340,6 @@ def stored_filter(spark, sf_dir):
 
 def entry(spark: SparkSession) -> DataFrame:
     return doc_stats(spark, "/root/testdata/sf0.001")
+
+
+from tallyloom.plans import outcomes  # noqa: E402, F401  (it registers the rest)

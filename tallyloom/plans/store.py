@@ -1,6 +1,7 @@
 """The view store: each view's states as sorted runs of Parquet files under a versioned manifest.
 
 <root>/<view tag>/runs/<id>/part-*.parquet   states (d<tag>, m<tag>), sorted by dimensions within files
+<root>/<view tag>/pending/<id>               an empty file for each run that is being written, or written and not yet committed
 <root>/<view tag>/manifest/<number>.json     runs by level, and the last epoch applied of each writer
 
 A merge appends what an epoch has added as a run of level 0; when a level has `fanout` runs they are merged into one of the next,
@@ -8,13 +9,15 @@ laid out by ranges of the dimensions, so that filters prune files and row groups
 times and not with every batch. Readers re-aggregate across runs, which is the same sum a query takes anyway.
 
 The manifest is the one commit point, for data and epochs at once: an epoch that is not after the writer's last one changes nothing, which makes
-replays harmless. A failed or lost attempt leaves at most unreferenced runs, which vacuum() deletes. Manifests are created without
-overwriting, so of two concurrent writers one fails and tries again from what the other has committed.
+replays harmless. A failed or lost attempt leaves at most unreferenced runs, which vacuum() deletes; those of a writer that is still at work are
+marked as pending, and vacuum() spares them for `grace`. Manifests are created without overwriting, so of two concurrent writers one fails and
+tries again from what the other has committed.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +34,11 @@ from tallyloom.schema import Schema
 from tallyloom.types import MaterializedViewSpec, QuerySpec
 
 _RETRIES = 10
+GRACE = dt.timedelta(days=1)
+
+
+class RunLost(RuntimeError):
+    """A run was deleted before it was committed: its writer took longer than vacuum() waits."""
 
 
 class ViewStore:
@@ -105,12 +113,15 @@ class ViewStore:
         """Adds the states of one epoch of a writer; False, and nothing done, if that epoch has been applied or the view is unknown."""
         if tag not in self.schema.views or epoch <= self.applied(tag).get(writer, -1):
             return False
-        run, schema = self._write(tag, states, spread=False)
+        run, schema = self._write_pending(tag, states, spread=False)
         for attempt in range(_RETRIES):
             number, now = self.manifest(tag)
+            if any(run in level for level in now["levels"]):
+                break
             if epoch <= now["applied"].get(writer, -1):
-                files.delete(self.spark, run)
+                self._give_up(tag, run)
                 return False
+            self._still_there(tag, run)
             levels = now["levels"] or [[]]
             document = {"levels": [[*levels[0], run], *levels[1:]], "applied": now["applied"] | {writer: epoch}, "schema": now["schema"] or schema.jsonValue()}
             try:
@@ -119,6 +130,7 @@ class ViewStore:
             except files.AlreadyThere:
                 if attempt + 1 == _RETRIES:
                     raise
+        self._settle(tag, run)
         self.compact(tag)
         return True
 
@@ -128,8 +140,8 @@ class ViewStore:
             return False
         return self.merge(tag, partials(self.schema, self._view(tag), source, self.mode, is_mapped), writer, epoch)
 
-    def _write(self, tag: int, states: DataFrame, spread: bool) -> tuple[str, T.StructType]:
-        path, keys = f"{self._folder(tag)}/runs/{uuid.uuid4().hex}", self.keys(tag)
+    def _write(self, tag: int, states: DataFrame, spread: bool, name: str | None = None) -> tuple[str, T.StructType]:
+        path, keys = f"{self._folder(tag)}/runs/{name or uuid.uuid4().hex}", self.keys(tag)
         columns = [*keys, *dict.fromkeys(i[0] for i in self.items(tag))]
         out = states.select(*columns) if columns else states
         if spread and keys:
@@ -137,6 +149,29 @@ class ViewStore:
         (out.sortWithinPartitions(*keys) if keys else out).write.parquet(path)
         return path, T.StructType([T.StructField(f.name, f.dataType) for f in out.schema.fields])
 
+    # Runs that no manifest names yet.
+
+    def _mark(self, tag: int, run: str) -> str:
+        return f"{self._folder(tag)}/pending/{run.rpartition('/')[2]}"
+
+    def _write_pending(self, tag: int, states: DataFrame, spread: bool) -> tuple[str, T.StructType]:
+        """_write(), with a mark that spares the run from vacuum(), from before its first file until _settle() or _give_up()."""
+        name = uuid.uuid4().hex
+        files.touch(self.spark, self._mark(tag, name))
+        return self._write(tag, states, spread, name)
+
+    def _still_there(self, tag: int, run: str) -> None:
+        if not files.exists(self.spark, self._mark(tag, run)):
+            files.delete(self.spark, run)
+            raise RunLost(run)
+
+    def _settle(self, tag: int, run: str) -> None:
+        files.delete(self.spark, self._mark(tag, run))
+
+    def _give_up(self, tag: int, run: str) -> None:
+        files.delete(self.spark, run)
+        self._settle(tag, run)
+
     def compact(self, tag: int, whole: bool = False, keep: Column | None = None) -> None:
         """Merges the runs of every level that is full; whole: all runs into one, of which rows stay for which the Column keep is true."""
         while True:
@@ -154,14 +189,17 @@ class ViewStore:
             states = self._read(old, T.StructType.fromJson(now["schema"]))
             if keep is not None:
                 states = states.where(keep)
-            run, _ = self._write(tag, aggregate.merge(states, self.keys(tag), self.items(tag), self.mode), spread=True)
+            run, _ = self._write_pending(tag, aggregate.merge(states, self.keys(tag), self.items(tag), self.mode), spread=True)
             left = [[r for r in level if r not in old] for level in levels] + [[]] * (at + 1 - len(levels))
             left[at] = [*left[at], run]
             try:
+                self._still_there(tag, run)
                 self._versions(tag).commit(number, now | {"levels": left})
             except files.AlreadyThere:
-                files.delete(self.spark, run)
-                continue
+                if not any(run in level for level in self.manifest(tag)[1]["levels"]):
+                    self._give_up(tag, run)
+                    continue
+            self._settle(tag, run)
             # Queries that have already been planned may still read the old runs: vacuum() deletes them.
             if whole:
                 return
@@ -176,15 +214,21 @@ class ViewStore:
         due = F.unix_micros(F.col(dim(self.schema.dimension(keep.relative_to).tag))) + F.lit(keep.remove_after // dt.timedelta(microseconds=1))
         return F.coalesce(F.floor(due / 1_000_000) < int(now.timestamp()), F.lit(False))
 
-    def vacuum(self, now: dt.datetime | None = None) -> None:
-        """Drops rows past retention, views that the schema no longer has (if it has any view at all), and runs that no manifest names."""
+    def vacuum(self, now: dt.datetime | None = None, grace: dt.timedelta = GRACE) -> None:
+        """Drops rows past retention, views that the schema no longer has (if it has any view at all), and runs that no manifest names and no writer of the last `grace` has marked as pending."""
         now = now or dt.datetime.now(dt.timezone.utc)
         for tag in self.schema.views:
             if (late := self.expired(tag, now)) is not None and self.state(tag).where(late).limit(1).count():
                 self.compact(tag, whole=True, keep=~late)
+            # In this order: a writer marks, writes, commits, and only then removes its mark.
+            runs = files.names(self.spark, f"{self._folder(tag)}/runs")
+            marks = dict(files.modified(self.spark, f"{self._folder(tag)}/pending"))
             named = {r.rpartition("/")[2] for level in self.manifest(tag)[1]["levels"] for r in level}
-            for run in files.names(self.spark, f"{self._folder(tag)}/runs"):
-                if run not in named:
+            spared = {name for name, at in marks.items() if at >= time.time() - grace.total_seconds()}
+            for name in marks.keys() - spared:
+                files.delete(self.spark, self._mark(tag, name))
+            for run in runs:
+                if run not in named and run not in spared:
                     files.delete(self.spark, f"{self._folder(tag)}/runs/{run}")
         if self.schema.views:
             for name in files.names(self.spark, self.root):

@@ -20,7 +20,7 @@ class TornRecord(ValueError):
     pass
 
 
-def read_hex(spark: SparkSession, path: str) -> DataFrame:
+def read_hex(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(key binary, value binary); a line that is not two runs of whole bytes in hex raises."""
     parts = F.split("value", "\t", -1)
     bad = F.raise_error(F.concat(F.lit("unexpected end of record: "), F.substring("value", 1, 60)))

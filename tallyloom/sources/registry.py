@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.plans.files import listing
 from tallyloom.types import Selector, ValidationError
@@ -16,7 +17,7 @@ FORMATS = ("parquet", "orc", "json", "csv", "text", "avro")
 class Source:
     """A folder or file of rows. schema is DDL; it is required for streams and for formats without a schema of their own.
 
-    Lines of JSON or CSV that do not parse are dropped and do not stop a read.
+    Lines of JSON or CSV that do not parse are dropped and do not stop a read; rejected() has them.
     """
 
     name: str
@@ -38,6 +39,16 @@ class Source:
         """All of it, or only some of its files."""
         return self._reader(spark.read).load(paths if paths is not None else self.path)
 
+    def rejected(self, spark: SparkSession, paths: list[str] | None = None) -> DataFrame:
+        """(path, line): the lines that read() drops."""
+        at = paths if paths is not None else self.path
+        if self.format not in ("json", "csv") or not self.schema:
+            return spark.createDataFrame([], "path string, line string")
+        parse = F.from_json if self.format == "json" else F.from_csv
+        plain = {k: v for k, v in self.options.items() if k not in ("mode", "maxFilesPerTrigger")} | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+        lines = spark.read.text(at).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+        return lines.where(F.trim("line") != "").where(parse("line", f"{self.schema}, _bad string", plain)["_bad"].isNotNull())
+
     def stream(self, spark: SparkSession, **options: str) -> DataFrame:
         schema = self.schema or spark.read.format(self.format).load(self.path).schema
         return self._reader(spark.readStream).schema(schema).options(**options).load(self.path)

@@ -1,7 +1,9 @@
 """Streams of delta events (writer, seq_no, row) through the two-phase commit, as a stateful operator.
 
 The held events of a writer are its state in the state store, so they survive a restart with the query's checkpoint. A row is any
-string, say JSON of dimensions and metric states; events of one writer must arrive in their order within a trigger.
+string, say JSON of a source row. position is an event's place in its writer's log, ascending (an offset of a topic, say): events are sorted by it
+within a trigger, and the last one is kept in the state. An event that arrives after a later one, or again, is refused with an error and changes
+nothing. What a writer holds between two acknowledgements is one state value, in one task: writers acknowledge often enough for that.
 """
 
 from __future__ import annotations
@@ -23,15 +25,21 @@ def committed(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         writer = key[0]
-        txn = Transactions.restore(json.loads(state.get[0])) if state.exists else Transactions()
+        kept = json.loads(state.get[0]) if state.exists else {"txn": {}, "last": None}
+        txn, last = Transactions.restore(kept["txn"]), kept["last"]
         got = pd.concat(list(batches)).sort_values("position", kind="stable")
         out = []
-        for seq_no, row in zip(got["seq_no"].tolist(), got["row"].tolist()):
+        for seq_no, row, position in zip(got["seq_no"].tolist(), got["row"].tolist(), got["position"].tolist()):
             try:
+                if pd.isna(position):
+                    raise SequenceError("event without a position")
+                if last is not None and position <= last:
+                    raise SequenceError(f"event out of order (position {position}, last position {last})")
+                last = int(position)
                 out += [(writer, e.seq_no, e.row, None) for e in txn.apply(DeltaEvent(writer, seq_no, None if pd.isna(row) else row))]
             except SequenceError as e:
                 out.append((writer, seq_no, None, str(e)))
-        state.update((json.dumps(txn.snapshot()),))
+        state.update((json.dumps({"txn": txn.snapshot(), "last": last}),))
         yield pd.DataFrame(out, columns=["writer", "seq_no", "row", "error"])
 
     return events.groupBy("writer").applyInPandasWithState(step, OUT, "txn string", "append", GroupStateTimeout.NoTimeout)

@@ -10,11 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.operators.extract import mapped
 from tallyloom.plans.store import ViewStore
 from tallyloom.schema import Schema
+from tallyloom.streaming.deltas import committed
 
 
 class UnknownWriter(RuntimeError):
@@ -52,3 +54,21 @@ def maintain(stream: DataFrame, store: ViewStore, views: list[int], checkpoint:
     if len(relations) != 1:
         raise ValueError(f"views of one relation are maintained together, not of {sorted(relations)}")
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def maintain_deltas(events: DataFrame, store: ViewStore, view: int, row_schema: str, checkpoint: str, refused: Callable[[DataFrame, int], None] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Keeps a view from a stream of delta events (writer, seq_no, row, position) whose rows are source rows as JSON of row_schema (DDL).
+
+    Rows that an acknowledgement commits within a micro-batch are one epoch of the view, so data, epochs and held rows advance together: a batch
+    that is replayed gives the same committed rows from the same state, and the view takes an epoch once. refused gets (writer, seq_no, error) of bad events.
+    """
+    spark = events.sparkSession
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        writer = writer_of(spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        if refused is not None:
+            refused(batch.where("error IS NOT NULL").select("writer", "seq_no", "error"), epoch)
+        rows = batch.where("error IS NULL").select(F.from_json("row", row_schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+        store.ingest(view, rows, writer, epoch)
+
+    return committed(events).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.functions import hll
+from tallyloom.functions import hll, hllbytes, hllforeign
 from tallyloom.functions.murmur import murmur64
 
 _M = (1 << 64) - 1
@@ -106,3 +106,70 @@ def test_accuracy_at_scale(spark):
     n = hll.exact_partial(df, ["k"], "v").select(hll.exact_estimate(F.col("v"))).first()[0]
     assert abs(n - 100_000) <= 2000 and isinstance(n, int)
     assert np.isfinite(n)
+
+
+def _state(words):
+    at = hll.registers(pa.array(words, pa.string()))
+    return hllforeign.packed(at >> 6, at & 63)
+
+
+def test_foreign_layouts():
+    for words in ([], ["one"], [str(i) for i in range(300)], [str(i) for i in range(60_000)]):
+        state = _state(words)
+        for bits in (5, 6):
+            if len(state) and (state & 63).max() >= 1 << bits:
+                continue
+            assert hllforeign.from_foreign(hllforeign.to_foreign(state, bits)).tolist() == state.tolist()
+        assert hllforeign.estimate(state) == pytest.approx(len(words), rel=0.03, abs=1)
+    one, two = _state(["a", "b"]), _state(["b", "c"])
+    both = _state(["a", "b", "c"])
+    assert hllforeign.merged(hllbytes.to_bytes(one), hllforeign.to_foreign(two)) == hllbytes.to_bytes(both)
+    assert hllforeign.merged(hllbytes.dense(one), hllbytes.dense(two)) == hllbytes.to_bytes(both)
+
+
+def _sparse(*sums):
+    """The sparse foreign layout of running sums."""
+    body = b""
+    for n in np.diff([0, *sums]).tolist():
+        while n >= 0x80:
+            body += bytes([n & 0x7F | 0x80])
+            n >>= 7
+        body += bytes([n])
+    return b"\0\1" + (15 + len(body)).to_bytes(4, "big") + b"\0\1" + bytes([14, 20]) + bytes(5) + body
+
+
+def test_foreign_sparse_entries():
+    # Even: a hash's top 20 bits; here register 123, and its sixth bit after the register is the first one. Odd: register 456, rho 34; register 789, rho 25.
+    even, odd = ((123 << 6 | 1) << 1), lambda register, rho: register << 13 | (rho - 6) << 1 | 1
+    got = hllforeign.from_foreign(_sparse(even, odd(456, 34), odd(789, 25)))
+    assert got.tolist() == [123 * 64 + 6, 456 * 64 + 34, 789 * 64 + 25]
+    assert hllforeign.from_foreign(_sparse()).tolist() == []
+
+
+@pytest.mark.parametrize(
+    "at, value, message",
+    [(1, 2, "HLL\\+\\+ layout"), (5, 99, "length mismatch"), (7, 2, "unknown flags"), (8, 15, "unsupported precision"), (9, 25, "unsupported precision"), (14, 4, "unsupported bits")],
+)
+def test_foreign_headers_are_checked(at, value, message):
+    data = bytearray(hllforeign.to_foreign(_state(["a"])))
+    data[at] = value
+    with pytest.raises(ValueError, match=message):
+        hllforeign.from_foreign(bytes(data))
+
+
+def test_streaming_header():
+    """One register, sparse and dense."""
+    state = np.array([1234 * 64 + 5])
+    assert hllforeign.to_streaming(hllbytes.to_bytes(state)) == b"S\0\0\0\1" + bytes(7) + b"\x0e\0\0\0\5\0\0\0" + bytes.fromhex("44d1907b2c")
+    out = hllforeign.to_streaming(hllbytes.dense(np.array([1 * 64 + 5])))
+    assert out[:30] == b"D\0\0\0\1" + bytes(7) + b"\x0e\0\0\0\1\x30\0\0" + b"\x40\1" + bytes(8)
+    assert hllforeign.opcodes(hllbytes.to_bytes(state)) == ["XZERO(1234) [0, 1234)", "VALUE(5 over 1) [1234, 1235)", "XZERO(15149) [1235, 16384)"]
+
+
+def test_low_registers():
+    at = hllforeign.low_registers(pa.array([str(i) for i in range(2000)]))
+    for x, h in zip(at.tolist(), murmur64(pa.array([str(i) for i in range(2000)])).tolist()):
+        rest, rho = (h | 1 << 63) >> 14, 1
+        while not rest & 1:
+            rest, rho = rest >> 1, rho + 1
+        assert x == (h & 16383) * 64 + rho

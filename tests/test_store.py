@@ -8,7 +8,7 @@ import pytest
 from quotes import QUOTE_STATS, QUOTES, SPEC, WORD_STATS, extractors, frame, schema, tuples
 from tallyloom.plans import files
 from tallyloom.plans.catalog import Catalog, Config, RevisionMismatch
-from tallyloom.plans.store import ViewStore
+from tallyloom.plans.store import RunLost, ViewStore
 from tallyloom.types import Filter, QuerySpec, SchemaSpec, StringRange, ValidationError, ViewSpec, dumps, loads
 
 WORDS, STATS, RECENT = 1, 2, 3
@@ -93,6 +93,51 @@ def test_a_lost_attempt_leaves_nothing(spark, tmp_path):
     assert len(files.names(spark, folder)) == 1 and words(store) == [("a", "b", 1, 2, 3)]
 
 
+def test_vacuum_spares_what_a_writer_has_not_yet_committed(spark, tmp_path):
+    store = store_at(spark, tmp_path)
+    commit = store._versions
+
+    class Vacuumed:
+        """Someone vacuums between a writer's last file and its commit."""
+
+        def __init__(self, tag):
+            self.inner = commit(tag)
+
+        def read(self):
+            return self.inner.read()
+
+        def commit(self, after, document):
+            store_at(spark, tmp_path).vacuum(NOW)
+            return self.inner.commit(after, document)
+
+    store._versions = Vacuumed
+    assert store.merge(WORDS, states(spark, ("a", "b", 1, 2, 3)), "A", 0) and words(store) == [("a", "b", 1, 2, 3)]
+    assert files.names(spark, f"{store.root}/{WORDS}/pending") == []
+    run, _ = store._write_pending(WORDS, states(spark, ("x", "b", 1, 2, 3)), spread=False)
+    store_at(spark, tmp_path).vacuum(NOW, grace=dt.timedelta(seconds=-60))  # as if the writer had died long ago
+    assert not files.exists(spark, run) and files.names(spark, f"{store.root}/{WORDS}/pending") == []
+    with pytest.raises(RunLost):
+        store._still_there(WORDS, run)
+
+
+def test_a_stale_commit_is_refused_after_its_version_was_pruned(spark, tmp_path):
+    v = files.Versions(spark, f"file://{tmp_path}/v", keep=3)
+    for i in range(6):
+        v.commit(i, {"i": i})
+    for after in (0, 1, 2, 3, 5):
+        with pytest.raises(files.AlreadyThere):
+            v.commit(after, {"i": "stale"})
+    assert v.read() == (6, {"i": 5}) and v.commit(6, {"i": 6}) == 7
+    # One that looked before the others committed: it finds out afterwards, and takes its file back.
+    read, numbers = files.Versions(spark, v.folder, keep=3), v._numbers
+    for after, first in ((0, []), (2, [2])):
+        answers = iter([first])
+        read._numbers = lambda: next(answers, None) or numbers()
+        with pytest.raises(files.AlreadyThere):
+            read.commit(after, {"i": "stale"})
+        assert numbers() == [5, 6, 7]
+
+
 def test_of_two_writers_of_one_version_one_tries_again(spark, tmp_path):
     store = store_at(spark, tmp_path)
     versions = store._versions(WORDS)

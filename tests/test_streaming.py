@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 
@@ -115,9 +116,10 @@ def test_transitions():
 def test_transitions_in_a_stream(spark, tmp_path):
     events, at = [*((row, n) for row, n, _ in STEPS), *((row, n) for row, n, _ in ERRORS), (A, 10)], tmp_path / "events"
     at.mkdir()
-    for k, cut in enumerate((events[:7], events[7:14], events[14:])):
-        rows = [{"writer": "a", "seq_no": n, "row": f"r{n}" if row else None, "position": i} for i, (row, n) in enumerate(cut)]
+    for k, (lo, hi) in enumerate(((0, 7), (7, 14), (14, len(events)))):
+        rows = [{"writer": "a", "seq_no": n, "row": f"r{n}" if row else None, "position": i} for i, (row, n) in enumerate(events) if lo <= i < hi]
         (at / f"{k}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+        os.utime(at / f"{k}.json", (1000 + k, 1000 + k))  # files are read in the order of their times
     stream = spark.readStream.schema("writer string, seq_no long, row string, position long").option("maxFilesPerTrigger", "1").json(str(at))
     q = committed(stream).writeStream.format("memory").queryName("done").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -126,6 +128,19 @@ def test_transitions_in_a_stream(spark, tmp_path):
     assert [r["error"] for r in got if r["error"]] == [m for _, _, m in ERRORS]
 
 
+def test_events_out_of_order_are_refused_and_change_nothing(spark, tmp_path):
+    at = tmp_path / "events"
+    at.mkdir()
+    for k, rows in enumerate(([("r1", 1, 10), ("r2", 2, 11)], [("late", 3, 5), ("r2", 2, 11), (None, 2, 12)], [(None, 7, None), ("r4", 4, 20), (None, 4, 21)])):
+        (at / f"{k}.json").write_text("".join(json.dumps({"writer": "a", "seq_no": n, "row": row, "position": p}) + "\n" for row, n, p in rows))
+        os.utime(at / f"{k}.json", (1000 + k, 1000 + k))
+    stream = spark.readStream.schema("writer string, seq_no long, row string, position long").option("maxFilesPerTrigger", "1").json(str(at))
+    committed(stream).writeStream.format("memory").queryName("ordered").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.table("ordered").collect()
+    assert [r["row"] for r in got if r["error"] is None] == ["r1", "r2", "r4"]
+    assert sorted(r["error"] for r in got if r["error"]) == ["event out of order (position 11, last position 11)", "event out of order (position 5, last position 11)", "event without a position"]
+
+
 def test_backfill_then_live(spark, tmp_path):
     store, folder = ViewStore(spark, f"file://{tmp_path}/views", schema()), tmp_path / "in"
     put(folder, "a.json", QUOTES[:2])
