@@ -9,8 +9,9 @@ Nulls: a null text is one empty line. Each row counts as a document, so repeated
 are ids like any other. Keys shorter than min_chars never count. Other columns pass through, whatever their names; the new
 columns come after them and replace any of the same name.
 
-Only DataFrame functions are used. A hot line is counted by partial sums, and its join is a shuffle join that adaptive execution
-splits, or a broadcast where Spark has measured that the frequent keys are small.
+Only DataFrame functions are used. A hot line is counted by partial sums. The frequent keys are counted: up to `bound` they are broadcast to the
+documents' lines; more of them meet the lines in a shuffle join, each in SALTS places, so that the marks of one line are spread over as many
+tasks. Both give the same. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WS, ascii_lower, digest, fresh, let, remove, save, union
+from tallyloom.llm.common import WS, ascii_lower, digest, drop, fresh, let, remove, save, small
 
 KEY = ["h1", "h2"]
+SALTS = 32
 
 
 def lines(text):
@@ -80,17 +82,27 @@ def frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batc
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
     for i in range(batches):
         runs.add(keys.where(F.col("batch") == i).select(*KEY, "n"))
+    drop(keys)
     return runs.settled()
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3, fanout: int = 3, text_col: str = "text") -> DataFrame:
+def _frequent_only(found: DataFrame, frequent: DataFrame, bound: int) -> DataFrame:
+    """found(t1, ..., h1, h2): the rows whose key is frequent."""
+    known = small(frequent, bound)
+    if known is not frequent:
+        return found.join(known, KEY, "left_semi")
+    salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", F.pmod(F.xxhash64("t1", "t2"), F.lit(SALTS)).cast("int")).join(salted, [*KEY, "salt"], "left_semi")
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3, fanout: int = 3, text_col: str = "text", bound: int = 500_000) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text added as the last three columns: frequent lines lose all their occurrences."""
-    frequent = frequent_lines(docs, min_docs, min_chars, batches, fanout, text_col)
+    frequent = save(frequent_lines(docs, min_docs, min_chars, batches, fanout, text_col), "frequent-lines")
     # Which lines go depends on the text alone: equal texts share a row of marks.
     t1, t2 = digest(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     found = docs.select(t1.alias("t1"), t2.alias("t2"), F.posexplode(lines(F.col(text_col))).alias("at", "line"))
     h1, h2 = digest(line_key(F.col("line")))
-    marks = found.where(F.length(line_key(F.col("line"))) >= min_chars).select("t1", "t2", F.col("at") + 1, h1, h2).toDF("t1", "t2", "at", *KEY).join(frequent, KEY, "left_semi")
+    marks = _frequent_only(found.where(F.length(line_key(F.col("line"))) >= min_chars).select("t1", "t2", F.col("at") + 1, h1, h2).toDF("t1", "t2", "at", *KEY), frequent, bound)
     marks = marks.groupBy("t1", "t2").agg(F.sort_array(F.collect_set("at")).alias("gone"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text"))).alias("row"), t1.alias("t1"), t2.alias("t2"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(marks, ["t1", "t2"], "left")
     gone = F.coalesce("gone", F.expr("array()").cast("array<int>"))

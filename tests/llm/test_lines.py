@@ -29,6 +29,12 @@ def test_against_brute_force(spark, min_docs, batches, fanout):
     assert cases.tuples(got.select("doc_id", "n_lines", "n_dropped", "kept_text")) == brute(cases.rows(), min_docs)
 
 
+def test_a_salted_join_gives_the_same(spark):
+    docs = spark.createDataFrame([(i, f"hot\nonly {i}\n  HOT\t") for i in range(300)] + [(None, "hot"), (300, None)], "doc_id long, text string")
+    got = line_dedup.dedup_lines(docs, bound=0)
+    assert cases.tuples(got.select("doc_id", "n_lines", "n_dropped", "kept_text")) == brute([tuple(r) for r in docs.collect()], 10)
+
+
 def test_batches_added_one_by_one(spark):
     """What later batches bring counts with what is there, and runs are compacted on the way."""
     docs = spark.createDataFrame([(i, f"common\nonly {i}\n" + ("rare" if i % 4 == 0 else "")) for i in range(16)], "doc_id long, text string")
