@@ -11,8 +11,8 @@ A document may hold several copies with different values, so that is asked of ea
 with words put in; of windows met by several, the alignment with most windows counts), and of all together; one that qualifies is enough.
 Literal windows that cover `coverage` qualify without slots. A literal run alone does not: names changed in the rest of a copy must agree.
 
-Windows of the template with fewer than `literal` ordinary tokens say too little and are not used. Items of fewer than five tokens match
-nothing; null and empty texts on either side match nothing. Repeated documents share a row of findings by the digest of their
+Windows of the template with fewer than `literal_min` ordinary tokens say too little and are not used. An item of four tokens is a literal window of
+its own length; items of fewer (`shortest`) match nothing. Null and empty texts on either side match nothing, and an empty table on either side finds nothing. Repeated documents share a row of findings by the digest of their
 text and come out as often as they came in; null ids are kept. Columns besides ids and texts are ignored, or passed through by clean().
 
 A template window without a placeholder is its literal window, so only literal windows stand for those.
@@ -60,37 +60,56 @@ def place(token: Column) -> Column:
     return F.when(token.isin(NUMBER, NAME), token).when(token.isin(UNITS), UNIT)
 
 
-def windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """df has text: keep, lit, tpl (arrays of tokens), start, and key, a hash for the literal and one for the template window at each start.
+def windows(df: DataFrame, keep: list[str], short: list[int] = []) -> DataFrame:  # noqa: B006
+    """df has text: keep, lit, tpl (arrays of tokens), start, and key, a hash for the literal and one for the template window at each start, and one for a literal window of each length in short.
 
     Nothing filters by the tokens before the explode, or they would be computed twice (so would an inner explode, for its own filter on the size). Tokens are hashed once, in arrays; windows are hashed after the explode, in generated code, from five longs each.
     """
     parts = df.select(*keep, words(F.col("text")).alias("s")).select(*keep, literal(F.col("s")).alias("lit"), template(F.col("s")).alias("tpl"))
     parts = parts.select(*keep, "lit", "tpl", F.transform("lit", lambda t: F.xxhash64(t)).alias("hl"), F.transform("tpl", lambda t: F.xxhash64(F.when(t.isin(UNITS), UNIT).otherwise(t))).alias("ht"))
-    rows = parts.select(*keep, "lit", "tpl", "hl", "ht", F.posexplode_outer("hl").alias("start", "first")).where(F.col("start") + SIZE <= F.size("hl"))
-    key = lambda kind, h: F.xxhash64(F.lit(kind), *(F.get(h, F.col("start") + i) for i in range(SIZE)))
-    return rows.select(*keep, "lit", "tpl", "start", F.explode(F.array(key(0, F.col("hl")), key(1, F.col("ht")))).alias("key"))
+    rows = parts.select(*keep, "lit", "tpl", "hl", "ht", F.posexplode_outer("hl").alias("start", "first")).where(F.col("start") + min([SIZE, *short]) <= F.size("hl"))
+    fits = lambda size, key: F.when(F.col("start") + size <= F.size("hl"), key) if short else key
+    keys = [fits(SIZE, _key(0, F.col("hl"), SIZE)), fits(SIZE, _key(1, F.col("ht"), SIZE)), *(fits(k, _key(1 + k, F.col("hl"), k)) for k in short)]
+    return rows.select(*keep, "lit", "tpl", "start", F.explode(F.array(*keys)).alias("key"))
+
+
+def _key(kind: int, hashes: Column, size: int) -> Column:
+    """The hash of the window at start; kind: 0 literal, 1 template, 1 + size of a short literal one."""
+    return F.xxhash64(F.lit(kind), *(F.get(hashes, F.col("start") + i) for i in range(size)))
 
 
 def _at(column: str) -> Column:
     return F.slice(column, F.col("start") + 1, SIZE)
 
 
-def benchmark_windows(benchmark: DataFrame, literal_min: int) -> DataFrame:
-    """(key, item_id, n, at, values): literal windows, and template windows that have a placeholder and enough other tokens."""
-    w = windows(benchmark.select("item_id", "text"), ["item_id"])
+def short_lengths(benchmark: DataFrame, shortest: int) -> list[int]:
+    """The lengths of items that are shorter than a window, but not too short."""
+    n = F.size(literal(words(F.col("text"))))
+    # At most SIZE rows, whatever the benchmark.
+    return sorted(r["n"] for r in benchmark.select(n.alias("n")).where((F.col("n") >= shortest) & (F.col("n") < SIZE)).distinct().collect())
+
+
+def benchmark_windows(benchmark: DataFrame, literal_min: int, short: list[int]) -> DataFrame:
+    """(key, item_id, n, at, values): literal windows, template windows that have a placeholder and enough other tokens, and short items whole."""
+    w = windows(benchmark.select("item_id", "text"), ["item_id"], short).where("key IS NOT NULL")
     types = F.transform(_at("tpl"), place)
     places = F.size(F.filter(types, lambda x: x.isNotNull()))
-    literal_key = F.xxhash64(F.lit(0), *(F.xxhash64(F.get(F.col("lit"), F.col("start") + i)) for i in range(SIZE)))
-    w = w.where((F.col("key") == literal_key) | ((places > 0) & (places <= SIZE - literal_min)))
+    hashes, n = F.transform("lit", lambda t: F.xxhash64(t)), F.size("lit")
+    wanted = (F.col("key") == _key(0, hashes, SIZE)) | ((n >= SIZE) & (places > 0) & (places <= SIZE - literal_min))
+    for k in short:
+        # A short window in a longer item is no window of it.
+        own = F.col("key") == _key(1 + k, hashes, k)
+        wanted = (wanted & ~own) | (own & (n == k))
+    w = w.where(wanted)
     return w.select("key", "item_id", F.size("lit").alias("n"), F.col("start").alias("at"), _at("lit").alias("values"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, run: int = 13, consistency: float = 0.8, literal_min: int = 3, bound: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, run: int = 13, consistency: float = 0.8, literal_min: int = 3, bound: int = 500_000, shortest: int = 4) -> DataFrame:
     """(t1, t2, item_id, n_windows, coverage, longest_run, consistency): contaminated texts by their digests."""
-    index = save(benchmark_windows(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), literal_min), "bench-windows")
+    short = short_lengths(benchmark, shortest)
+    index = save(benchmark_windows(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), literal_min, short), "bench-windows")
     t1, t2 = digest(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    own = windows(docs.select(t1.alias("t1"), t2.alias("t2"), "text"), TEXT)
+    own = windows(docs.select(t1.alias("t1"), t2.alias("t2"), "text"), TEXT, short)
     known = small(index, bound)
     if known is index:
         # Windows go through a shuffle: each with its own five tokens, not with its text.
@@ -99,8 +118,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.8, r
         own = own.withColumn("from", F.col("start"))
     met = own.join(known, "key")
     slot = lambda j: F.struct(place(F.get("tpl", F.col("from") + j)).alias("type"), F.get("values", F.lit(j)).alias("theirs"), F.get("lit", F.col("from") + j).alias("ours"))
-    same = F.slice("lit", F.col("from") + 1, SIZE) == F.col("values")
-    hits = met.select(*TEXT, "item_id", "n", (F.col("start") - F.col("at")).alias("line"), "at", same.alias("same"), F.filter(F.array(*map(slot, range(SIZE))), lambda x: x["type"].isNotNull()).alias("slots")).distinct()
+    same = F.slice("lit", F.col("from") + 1, F.size("values")) == F.col("values")
+    hits = met.select(*TEXT, "item_id", "n", (F.col("start") - F.col("at")).alias("line"), "at", same.alias("same"), F.filter(F.array(*map(slot, range(SIZE))), lambda x: x["type"].isNotNull() & x["theirs"].isNotNull()).alias("slots")).distinct()
     return _judged(save(hits, "bench-hits"), coverage, run, consistency)
 
 
@@ -125,8 +144,8 @@ def _judged(hits: DataFrame, coverage: float, run: int, consistency: float) -> D
     part = [*pair, "scope", "part"]
     scoped = save(_scoped(hits), "bench-scoped")
     island = scoped.withColumn("g", F.col("at") - F.row_number().over(Window.partitionBy(*part, "line").orderBy("at")))
-    runs = island.groupBy(*part, "line", "g").agg(F.count("*").alias("k")).groupBy(*part).agg((F.max("k") + (SIZE - 1)).alias("longest_run"))
-    tokens = F.array_distinct(F.flatten(F.transform("starts", lambda at: F.sequence(at, at + (SIZE - 1)))))
+    runs = island.groupBy(*part, "line", "g", "n").agg(F.count("*").alias("k")).groupBy(*part).agg(F.max(F.least(F.col("k") + (SIZE - 1), F.col("n"))).alias("longest_run"))
+    tokens = F.array_distinct(F.flatten(F.transform("starts", lambda at: F.sequence(at, F.least(at + (SIZE - 1), F.col("n") - 1)))))
     covered = scoped.groupBy(*part, "n").agg(F.collect_set("at").alias("starts")).select(*part, F.size("starts").cast("long").alias("n_windows"), (F.size(tokens) / F.col("n")).alias("coverage"))
     slots = scoped.select(*part, F.explode("slots").alias("s")).groupBy(*part, "s.type", "s.theirs").agg(F.countDistinct("s.ours").alias("k"))
     agree = slots.groupBy(*part).agg(F.avg((F.col("k") == 1).cast("double")).alias("consistency"))
