@@ -2,14 +2,15 @@
 
 Each language has a smoothed distribution over hashed character trigrams of lower-cased words (runs of letters, with their
 ends). A document's trigrams are taken as drawn from a mixture of languages: expectation-maximisation estimates the proportions, and the
-languages are chosen by penalised likelihood: the best k languages, for each k up to `most`, are fitted on their own, and the k with the
-highest log-likelihood - penalty * k * ln(trigrams) wins. The largest share of the chosen set is the prediction.
+languages are chosen by penalised likelihood: the best k languages are fitted on their own, for k = 1, 2 and on, as long as
+log-likelihood - penalty * k * ln(trigrams) grows. The largest share of the chosen set is the prediction.
 
 Counts cover every labelled row that the caller hands over: they are summed in tasks, then by a shuffle, to languages x BUCKETS
 numbers, whatever the corpus; that bound is what makes the model fit for every task (a language costs 0.5 MB).
 
 A text that is null or has no letter is `und` with score 0, as is everything if nothing was learned. Rows with a null language or a null
-text teach nothing. Null ids and repeated rows come out as they came in. Long texts are read in slices, whole.
+text teach nothing. Null ids and repeated rows come out as they came in; an empty table gives an empty one. Long texts are read in slices, whole, and inferred
+in groups of bounded size, so memory follows the longest text and not the batch.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from tallyloom.llm.common import ready
 BITS = 15
 BUCKETS = 1 << BITS
 _SLICE = 1 << 20
+#: Different trigrams of the texts that are inferred together, at most, besides those of one text more.
+_GROUP = 1 << 17
 _LETTER: list[np.ndarray] = []
 
 
@@ -96,34 +99,51 @@ def mixture(log_p: np.ndarray, n: np.ndarray, ends: np.ndarray, allowed: np.ndar
     return share, np.add.reduceat(n * (np.log(np.maximum(mixed, 1e-300)) + peak), ends)
 
 
-def infer(texts: list[str | None], log_p: np.ndarray, most: int = 3, penalty: float = 4.0, rounds: int = 12) -> list[tuple[int, float, list[int]]]:
-    """(language, score, chosen set) of each text; language -1 where there is none. The score is the language's share among all."""
+def infer(texts: list[str | None], log_p: np.ndarray, most: int | None = None, penalty: float = 4.0, rounds: int = 12) -> list[tuple[int, float, list[int]]]:
+    """(language, score, chosen set) of each text; language -1 where there is none. The score is the language's share among all. most: no larger sets than that."""
     out: list[tuple[int, float, list[int]]] = [(-1, 0.0, [])] * len(texts)
-    found = [(i, *f) for i, f in enumerate(map(features, texts)) if len(f[0])]
-    if not found or not len(log_p):
+    if not len(log_p):
         return out
-    ends = np.cumsum([0, *(len(w) for _, w, _ in found[:-1])])
-    n = np.concatenate([x for _, _, x in found]).astype(np.float64)
-    part = log_p[:, np.concatenate([w for _, w, _ in found])].astype(np.float64)
-    share, _ = mixture(part, n, ends, np.ones((len(found), len(log_p))), rounds)
+    group, held = [], 0
+    for i, text in enumerate(texts):
+        where, n = features(text)
+        if len(where):
+            group.append((i, where, n))
+            held += len(where)
+        if group and (held > _GROUP or i + 1 == len(texts)):
+            _infer_group(group, log_p, len(log_p) if most is None else min(most, len(log_p)), penalty, rounds, out)
+            group, held = [], 0
+    return out
+
+
+def _infer_group(group, log_p, most, penalty, rounds, out) -> None:
+    n = np.concatenate([x for _, _, x in group]).astype(np.float64)
+    lengths = np.array([len(w) for _, w, _ in group])
+    ends = np.cumsum(lengths) - lengths
+    part = log_p[:, np.concatenate([w for _, w, _ in group])].astype(np.float64)
+    share, _ = mixture(part, n, ends, np.ones((len(group), len(log_p))), rounds)
     order, size = np.argsort(-share, axis=1, kind="stable"), np.log(np.add.reduceat(n, ends) + 1)
-    best, value = np.zeros(len(found), np.int64), np.full(len(found), -np.inf)
-    shares = []
-    for k in range(1, min(most, len(log_p)) + 1):
-        allowed = np.zeros(share.shape)
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        fitted, fit = mixture(part, n, ends, allowed, 1 if k == 1 else rounds)
-        fit = fit - penalty * k * size
-        best, value = np.where(fit > value, k, best), np.maximum(fit, value)
-        shares.append(fitted)
-    for j, (i, _, _) in enumerate(found):
-        chosen = shares[best[j] - 1][j]
-        top = int(np.argmax(chosen))
+    best, value, chosen = np.zeros(len(group), np.int64), np.full(len(group), -np.inf), np.zeros(share.shape)
+    going = np.arange(len(group))
+    for k in range(1, most + 1):
+        # Only texts for which the last language paid try one more.
+        inside = np.repeat(np.isin(np.arange(len(group)), going), lengths)
+        sub, own = (part, n) if inside.all() else (part[:, inside], n[inside])
+        allowed = np.zeros((len(going), len(log_p)))
+        np.put_along_axis(allowed, order[going, :k], 1.0, axis=1)
+        fitted, fit = mixture(sub, own, np.cumsum(lengths[going]) - lengths[going], allowed, 1 if k == 1 else rounds)
+        fit = fit - penalty * k * size[going]
+        better = fit > value[going]
+        going, fit, fitted = going[better], fit[better], fitted[better]
+        best[going], value[going], chosen[going] = k, fit, fitted
+        if not len(going):
+            break
+    for j, (i, _, _) in enumerate(group):
+        top = int(np.argmax(chosen[j]))
         out[i] = (top, float(min(1.0, share[j, top])), sorted(order[j, : best[j]].tolist()))
-    return out
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], most: int = 3, penalty: float = 4.0) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, np.ndarray], most: int | None = None, penalty: float = 4.0) -> DataFrame:
     """docs with lang_pred, score and languages (the chosen set, joined by commas) added; columns of those names are replaced."""
     ready(docs.sparkSession)
     names, log_p = list(model), np.array(list(model.values()), np.float32)
@@ -146,7 +166,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], most: int = 3, penal
 
 
 def fold(doc_id="doc_id", folds: int = 5):
-    """crc32 of doc_id as text, mod folds; null ids are in none."""
+    """crc32 of doc_id as text, mod folds; null for a null id, whose row neither teaches nor is held out."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
