@@ -1,17 +1,21 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of characters in words, trained on trusted text.
 
-The events are the characters of each white-space word, its start and its end; an n-gram is a character with up to order - 1 characters
-before it in the word. Orders below the highest use continuation counts (how many different characters come before), except for
+The events are the characters of each white-space word, its start and its end, and, before its first character, a sign if the word is the one before
+it once more, so that texts of repetitions are as unlikely as they are in trusted text. An n-gram is a character with up to order - 1
+characters before it in the word. Orders below the highest use continuation counts (how many different characters come before), except for
 n-grams from a word's start, which nothing can precede. Three discounts per order and language come from the counts of counts.
 Counts, contexts and probabilities are tables, joined by n-gram; the model's size is counted before it is used:
 
 - up to `bound` n-grams, it is broadcast, and each worker scores a word once for all its documents;
 - beyond, documents' n-grams are joined with the sharded tables, order by order, and summed by document. Both give the same.
 
-A document's perplexity is exp(-log-probability / events). It is kept if that is at most its language's threshold: the `quantile` of
-trusted documents in that language, times `slack`. A language without trusted text uses all languages' model and threshold (under
-the name ''), as does a null language. A text that is null or blank has no perplexity (null) and is not kept. Null ids and repeated
-rows come out as they came in. Words longer than LONG are cut into words of that length, so one endless word costs no more than any other text.
+A document's perplexity is exp(-log-probability / events). Trusted texts are dealt by a hash of the text: four in five train the model, the
+others set thresholds, so no text is judged by a model that has seen it. A document is kept if its perplexity is at most its language's threshold:
+the `quantile` of that language's held-out trusted documents, times `slack`: a quantile of 0.95 stays where it is if a few trusted documents are odd, and the
+slack then keeps good ones beyond it. A language without trusted text on both sides uses all languages' model or
+threshold (under the name ''), as does a null language. A text that is null or blank has no perplexity (null) and is not kept. Null ids and
+repeated rows come out as they came in. Words longer than LONG are cut into words of that length, so one endless word costs no more than any
+other text. An empty table gives an empty one; without trusted text nothing is kept.
 """
 
 from __future__ import annotations
@@ -26,17 +30,19 @@ from tallyloom.llm.common import ready, save, small, union
 
 ORDER = 4
 LONG = 64
-START, END = "\x02", "\x03"
+START, END, AGAIN = "\x02", "\x03", "\x04"
+_SIGNS = str.maketrans(dict.fromkeys((START, END, AGAIN), " "))
+HELD_OUT = 5
 _FLUSH = 200_000
 
 
 def words_of(text: str | None):
-    """The words of a text, cut to LONG."""
-    for w in (text or "").replace(START, " ").replace(END, " ").split():
-        if len(w) <= LONG:
-            yield w
-        else:
-            yield from (w[i : i + LONG] for i in range(0, len(w), LONG))
+    """The words of a text, cut to LONG, with AGAIN before one that is the word before it once more."""
+    last = None
+    for w in (text or "").translate(_SIGNS).split():
+        for part in (w,) if len(w) <= LONG else (w[i : i + LONG] for i in range(0, len(w), LONG)):
+            yield AGAIN + part if part == last else part
+            last = part
 
 
 def grams(word: str, order: int = ORDER) -> list[str]:
@@ -211,18 +217,22 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, bound: int = 60
     return (_score_by_broadcast if few else _score_by_joins)(docs, model, order)
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, slack: float = 1.25, order: int = ORDER, bound: int = 600_000) -> DataFrame:
+def held_out(text="text"):
+    """Whether a trusted text sets thresholds instead of training; copies of a text go the same way."""
+    return F.pmod(F.xxhash64(text), F.lit(HELD_OUT)) == 0
+
+
+def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.95, slack: float = 1.3, order: int = ORDER, bound: int = 600_000) -> DataFrame:
     """docs(doc_id, text, lang): one row per document: doc_id, lang, n_events, perplexity, threshold, kept. trusted_ids(doc_id): whose text is trusted."""
     ids = small(save(trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct(), "trusted"), 2_000_000)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    model = train(docs.join(ids, "doc_id", "left_semi"), order)
-    scored = save(score(docs, model, order, bound).select("doc_id", "lang", "total", "events"), "scored")
-    rows = scored.select("doc_id", "lang", F.col("events").alias("n_events"), F.when(F.col("events") > 0, F.exp(-F.col("total") / F.col("events"))).alias("perplexity"))
-    good = rows.join(ids, "doc_id", "left_semi").where("perplexity IS NOT NULL")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.coalesce(held_out(), F.lit(False)).alias("held"))
+    model = train(docs.where("NOT held").join(ids, "doc_id", "left_semi"), order)
+    scored = save(score(docs, model, order, bound).select("doc_id", "lang", "held", "total", "events"), "scored")
+    rows = scored.select("doc_id", "lang", "held", F.col("events").alias("n_events"), F.when(F.col("events") > 0, F.exp(-F.col("total") / F.col("events"))).alias("perplexity"))
+    good = rows.where("held AND perplexity IS NOT NULL").join(ids, "doc_id", "left_semi")
     at = F.percentile_approx("perplexity", quantile, 10_000) * slack
-    limits = good.where("lang IS NOT NULL").groupBy("lang").agg(at.alias("own"))
-    rest = good.agg(at.alias("other")).select(F.lit("").alias("none"), "other")
-    # A row for each language with trusted text, and one for the others.
-    out = rows.join(F.broadcast(limits), "lang", "left").withColumn("none", F.when(F.col("own").isNull(), "")).join(F.broadcast(rest), "none", "left")
-    out = out.withColumn("threshold", F.coalesce("own", "other"))
+    # A row a language, and one for all.
+    limits = save(good.where("lang IS NOT NULL").groupBy("lang").agg(at.alias("own")), "limits")
+    rest = good.agg(at.alias("rest")).first()["rest"]
+    out = rows.join(small(limits, 10_000), "lang", "left").withColumn("threshold", F.coalesce("own", F.lit(rest).cast("double")))
     return out.select("doc_id", "lang", "n_events", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))

@@ -59,6 +59,49 @@ def test_shares_are_those_of_plain_expectation_maximisation(model):
     assert np.allclose(got[0], share) and abs(share.sum() - 1) < 1e-9
 
 
+def test_sets_and_answers_against_brute_force(model):
+    """One text at a time, every k in turn: the sets, the answers and the scores of texts in one to three languages, inferred together."""
+    rng = random.Random(18)
+    names, log_p = list(model), np.array(list(model.values()))
+    texts = [" ".join(text_of(rng, x, rng.choice((2, 30))) for x in rng.sample(list(SYLLABLES), k)) for k in (1, 1, 2, 2, 3, 3) for _ in range(4)] + [None, "", "12 !"]
+
+    def fitted(p, n, allowed, rounds):
+        share = allowed / allowed.sum()
+        for _ in range(rounds):
+            r = share[:, None] * p
+            share = (r / r.sum(0) * n).sum(1) / n.sum()
+        return share, float((n * np.log((share[:, None] * p).sum(0))).sum())
+
+    def answer(text):
+        where, n = langid.features(text)
+        if not len(where):
+            return (-1, 0.0, [])
+        p, n = np.exp(log_p[:, where].astype(float)), n.astype(float)
+        every, _ = fitted(p, n, np.ones(len(p)), 12)
+        order, best = sorted(range(len(p)), key=lambda i: -every[i]), None
+        for k in range(1, len(p) + 1):
+            share, fit = fitted(p, n, np.array([float(i in order[:k]) for i in range(len(p))]), 1 if k == 1 else 12)
+            fit -= 4.0 * k * math.log(n.sum() + 1)
+            if best is not None and fit <= best[0]:
+                break
+            best = (fit, int(np.argmax(share)), sorted(order[:k]))
+        return (best[1], min(1.0, every[best[1]]), best[2])
+
+    got, want = langid.infer(texts, log_p), [answer(t) for t in texts]
+    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want] and np.allclose([s for _, s, _ in got], [s for _, s, _ in want])
+    assert {len(c) for _, _, c in got} == {0, 1, 2, 3} and len(names) == 3
+
+
+def test_null_ids_teach_nothing_and_are_not_held_out(spark, tmp_path):
+    from tallyloom.llm import queries
+
+    rows = [(i, f"ka ko {i}", "aa") for i in range(30)] + [(None, "sch ung", "bb"), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_language_id(spark, f"file://{tmp_path}").collect()
+    assert len(got) == 32 and all(r.held_out is not None for r in got) and not any(r.held_out for r in got if r.doc_id is None)
+    assert {r.lang_pred for r in got} == {"aa", "und"}
+
+
 def test_training_rows_do_not_include_the_held_out(spark):
     docs = spark.createDataFrame([(i, "ka" if i else "sch", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
     import zlib
@@ -119,16 +162,16 @@ def test_probabilities_against_the_textbook(spark, order):
     rng = random.Random(order)
     train = [text_of(rng, "aa", 30) for _ in range(4)]
     texts = [*train, "kato zzz koki", "q", text_of(rng, "bb", 5)]
-    p = brute_model([w for t in train for w in t.split()], order)
+    p = brute_model([w for t in train for w in quality.words_of(t)], order)
     model = quality.train(spark.createDataFrame([("aa", t) for t in train], "lang string, text string"), order)
     docs = spark.createDataFrame([(i, "aa" if i % 2 else None, t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
-    want = [sum(math.log(p(g)) for w in t.split() for g in quality.grams(w, order)) for t in texts]
+    want = [sum(math.log(p(g)) for w in quality.words_of(t) for g in quality.grams(w, order)) for t in texts]
     for bound in (10**6, 0):  # by broadcast, and by joins of shards
         got = {r.doc_id: r for r in quality.score(docs, model, order, bound).collect()}
         assert np.allclose([got[i].total for i in range(len(texts))], want)
-        assert [got[i].events for i in range(len(texts))] == [sum(len(w) + 1 for w in t.split()) for t in texts]
-    seen = {g[:-1] for t in train for w in t.split() for g in quality.grams(w, order)}
-    signs = {g[-1] for t in train for w in t.split() for g in quality.grams(w, order)}
+        assert [got[i].events for i in range(len(texts))] == [sum(len(w) + 1 for w in quality.words_of(t)) for t in texts]
+    seen = {g[:-1] for t in train for w in quality.words_of(t) for g in quality.grams(w, order)}
+    signs = {g[-1] for t in train for w in quality.words_of(t) for g in quality.grams(w, order)}
     for context in list(seen)[:8]:
         assert sum(p(context + s) for s in signs) <= 1 + 1e-9
 
@@ -143,6 +186,40 @@ def test_clean_text_is_kept_and_junk_is_not(spark):
     assert sum(got[i].kept for i in range(80)) >= 79 and len(got) == len(rows)
 
 
+def test_words_know_the_one_before():
+    again = quality.AGAIN
+    assert list(quality.words_of("a a b a a a")) == ["a", again + "a", "b", "a", again + "a", again + "a"]
+    assert list(quality.words_of(f"x{quality.START}y{again}y")) == ["x", "y", again + "y"]
+    assert list(quality.words_of("z" * 150)) == ["z" * 64, again + "z" * 64, "z" * 22] and list(quality.words_of(None)) == []
+
+
+def test_what_is_kept_against_brute_force(spark):
+    """The whole query's decisions: textbook probabilities, held-out thresholds, the fallback, on both paths."""
+    rng = random.Random(12)
+    rows = [(i, text_of(rng, lang, 12), lang) for i, lang in enumerate(["aa", "bb"] * 30)]
+    rows += [(100 + i, text_of(rng, "cc", 12), "cc") for i in range(6)] + [(200, "kato " * 20, "aa"), (201, None, "aa"), (202, "q!7 " * 5, None), (203, " ", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {r.doc_id for r in docs.where(quality.held_out()).collect()}
+    trusted = set(range(60))
+    models = {lang: brute_model([w for i, t, x in rows if i in trusted - held and lang in (x, "") for w in quality.words_of(t)], 3) for lang in ("aa", "bb", "")}
+
+    def perplexity(text, lang):
+        p, grams = models[lang if lang in models else ""], [g for w in quality.words_of(text) for g in quality.grams(w, 3)]
+        return math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)) if grams else None
+
+    value = {i: perplexity(t, x) for i, t, x in rows}
+    limit = {lang: 1.1 * sorted(value[i] for i, _, x in rows if i in trusted & held and lang in (x, ""))[-1] for lang in ("aa", "bb", "")}
+    for bound in (10**6, 0):
+        got = {r.doc_id: r for r in quality.classify(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long"), 1.0, 1.1, 3, bound).collect()}
+        assert got.keys() == value.keys()
+        for i, _, lang in rows:
+            want = limit[lang if lang in limit else ""]
+            assert math.isclose(got[i].threshold, want, rel_tol=1e-9) and (got[i].perplexity is None) == (value[i] is None)
+            assert value[i] is None or math.isclose(got[i].perplexity, value[i], rel_tol=1e-9)
+            assert got[i].kept == (value[i] is not None and value[i] <= want)
+    assert not got[200].kept and got[5].kept
+
+
 def test_quality_cases(spark):
     ids = spark.createDataFrame([(i,) for i in range(0, 20)], "doc_id long")
     got = quality.classify(cases.frame(spark), ids)
