@@ -19,9 +19,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run on this machine (tests, local runs)."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: executors would not see each other's tables")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tallyloom-"))
     return f"file://{_own[0]}"
@@ -52,7 +54,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets local Python workers import this package from wherever the driver did, and bounds the bytes of an Arrow batch."""
+    """Lets local Python workers import this package from wherever the driver did, and bounds an Arrow batch to 1,000 rows: whole texts are long. The bound stays with the session, whose plans run after this returns."""
     home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")) if x)

@@ -38,7 +38,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = langid.identify(docs.select("doc_id", "text"), langid.train_on_folds(docs))
-    return out.select("doc_id", (langid.fold() == 0).alias("held_out"), "lang_pred", "score", "languages")
+    return out.select("doc_id", F.coalesce(langid.fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,18 +102,25 @@ FROM v JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id""",
 
 
 def _license_sql() -> str:
-    form = "lower(coalesce(text, ''))"
-    for pattern in (licenses.COPYRIGHT, licenses.COPYRIGHT_C):
-        form = f"regexp_replace({form}, '{pattern}', '\\1', 'g')"
-    form = f"' ' || trim(regexp_replace({form}, '{licenses.OTHER}', ' ', 'g')) || ' '"
-    for a, b in licenses.SAME:
-        form = f"replace({form}, ' {a} ', ' {b} ')"
-    known = ", ".join(f"('{a}', '{b}')" for a, b in licenses.digests())
+    def form(text: str) -> str:
+        x = f"lower({text})"
+        for pattern in (licenses.COPYRIGHT, licenses.COPYRIGHT_C):
+            x = f"regexp_replace({x}, '{pattern}', '\\1', 'g')"
+        x = f"' ' || trim(regexp_replace({x}, '{licenses.OTHER}', '  ', 'g')) || ' '"
+        for a, b in licenses.SAME:
+            wide = lambda s: " " + s.replace(" ", "  ") + " "
+            x = f"replace({x}, '{wide(a)}', '{wide(b)}')"
+        return f"trim(replace({x}, '  ', ' '))"
+
+    known = ", ".join(f"('{a}', '{b}')" for a, b in licenses.known_digests())
+    names = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in licenses.notice_digests())
     return f"""
-WITH f AS (SELECT doc_id, trim({form}) AS form FROM documents),
-d AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest FROM f),
+WITH f AS (SELECT doc_id, {form("coalesce(text, '')")} AS form,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(x) <= 200 AND (contains(lower(x), 'licen') OR contains(lower(x), 'cc0'))) AS near FROM documents),
+n AS (SELECT doc_id, form, list_filter(list_transform(near, lambda x: CASE sha256({form("x")}) {names} END), lambda x: x IS NOT NULL) AS said FROM f),
+d AS (SELECT doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest, nullif(array_to_string(list_sort(list_distinct(said)), ','), '') AS notices FROM n),
 k AS (SELECT * FROM (VALUES {known}) AS t(digest, license))
-SELECT doc_id, d.digest, license FROM d LEFT JOIN k ON d.digest = k.digest"""
+SELECT doc_id, d.digest, license, notices FROM d LEFT JOIN k ON d.digest = k.digest"""
 
 
 ORACLE["op8_license_scan"] = _license_sql()

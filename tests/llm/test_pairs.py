@@ -287,6 +287,16 @@ def test_two_items_of_one_template_in_one_document(spark):
     assert sorted(r.item_id for r in decontam.report(docs, bench).collect()) == [1, 2]
 
 
+def test_items_of_four_tokens_are_matched_whole(spark):
+    bench = spark.createDataFrame([(1, ITEM), (7, "Name every prime below"), (8, "two words"), (None, "Name the odd one")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "name every PRIME, below!"), (2, "He said: name every prime below."), (3, "name every prime"), (4, "two words"), (5, ITEM), (6, "name every odd below"), (7, "Name every prime below thirty. " * 20)], "doc_id long, text string")
+    for bound in (500_000, 0):
+        got = {(r.doc_id, r.item_id): (r.coverage, r.longest_run) for r in decontam.report(docs, bench, bound=bound).collect() if r.item_id is not None}
+        assert got.keys() == {(1, 7), (2, 7), (7, 7), (5, 1)}
+        assert got[1, 7] == (1.0, 4)
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [3, 4, 6]
+
+
 def test_decontamination_of_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (None, ITEM), (2, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
@@ -323,3 +333,43 @@ def test_every_license_in_both_forms(spark, name):
     for text in licenses.LICENSES[name]:
         df = spark.createDataFrame([(text,)], "t string").select(licenses.canonical(F.col("t")))
         assert df.first()[0] == licenses.canonical_text(text)
+
+
+def test_spellings_that_follow_one_another(spark):
+    df = spark.createDataFrame([("a Licence licence, sub license LICENCES per cent",)], "t string").select(licenses.canonical(F.col("t")))
+    assert df.first()[0] == licenses.canonical_text("a Licence licence, sub license LICENCES per cent") == "a license license sublicense licenses percent"
+
+
+def test_notices(spark):
+    rows = [(1, "Some text.\n  Released under the MIT licence\nmore"), (2, "licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0."), (3, "It is not Released under the MIT License. So there."), (4, None), (5, ""), (6, "Released under the MIT License."), (7, "x licence " * 5000 + "\nReleased under CC0 1.0")]
+    got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (None, "MIT"), 2: (None, "Apache-2.0,CC-BY-NC-4.0"), 3: (None, None), 4: (None, None), 5: (None, None), 6: ("MIT", "MIT"), 7: (None, "CC0-1.0")}
+
+
+def test_digests_are_those_of_the_published_texts(spark):
+    import pathlib
+
+    here = pathlib.Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    rows = [(k, (here / f).read_text(encoding="utf-8")) for k, f in files.items() if (here / f).exists()]
+    if not rows:
+        pytest.skip("no licence texts on this machine")
+    rows += [("Apache-2.0", t.upper().partition("END OF TERMS AND CONDITIONS")[0]) for k, t in rows if k == "Apache-2.0"]
+    docs = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "doc_id long, truth string, text string")
+    got = licenses.scan(docs).join(docs.select("doc_id", "truth"), "doc_id").collect()
+    assert len(got) == len(rows) and all(r.license == r.truth for r in got)
+
+
+def test_the_query_equals_its_sql(spark):
+    import duckdb
+
+    from tallyloom.llm import queries
+
+    rows = [(i, t) for i, t in enumerate([x for texts in licenses.LICENSES.values() for x in texts] + [f"a\n{x}\nb" for texts in licenses.NOTICES.values() for x in texts] + [None, "", "licence licence", "© 2020\n\n", "Ünïcode LICENCE\n(c) x"])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.sql(f"SELECT doc_id, digest, license, notices FROM ({queries.ORACLE['op8_license_scan']})").fetchall()
+    assert sorted(tuple(r[c] for c in ("doc_id", "digest", "license", "notices")) for r in got) == sorted(want)
+    assert sum(r.license is not None for r in got) == sum(map(len, licenses.LICENSES.values())) and sum(r.notices is not None for r in got) == sum(map(len, licenses.NOTICES.values()))
