@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import LOWER, UPPER, ready, save, small
+from tallyloom.llm.common import LOWER, UPPER, drop, ready, save, small
 from tallyloom.llm.components import components, unite
 
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -248,9 +248,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mis
     table = save(shingle_sets(docs, words, bands, rows), "sets")
     classes = save(table.groupBy("rep").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")), "set-classes")
     every = save(classes.select("rep", "at", "n", F.posexplode("keys").alias("band", "key")), "set-keys")
+    drop(classes)
     keys = save(every.join(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "set-shared")
-    # Only sets that meet another are read again.
-    sets = save(table.select("at", "rep", "s").join(small(save(keys.select("at").distinct(), "set-met")), "at", "left_semi").select("rep", "s"), "set-candidates")
+    drop(every)
+    # Only sets that meet another are read again. Of the others, nothing but the names of their rows is kept.
+    met = save(keys.select("at").distinct(), "set-met")
+    sets = save(table.select("at", "rep", "s").join(small(met), "at", "left_semi").select("rep", "s"), "set-candidates")
+    named = save(table.select("id", "tie", "rep"), "set-rows")
+    drop(met)
+    drop(table)
 
     def by_leader(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
         """keys(rep, n, grp, key): members (rep, n, key, leader, size, total, sign) of buckets, those of its least one's grp aside; (rep, leader, linked)."""
@@ -278,7 +284,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, mis
     rest = rest.select("key", "rep").join(left, "key").select("key", "rep", "no", "nr")
     edges = together.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_rest_links(rest, others, sets, similarity))
     comp = components(edges)
-    return table.select("id", "tie", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "tie", F.coalesce("component", "rep").alias("grp"))
+    return named.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", "tie", F.coalesce("component", "rep").alias("grp"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
