@@ -287,6 +287,20 @@ def test_two_items_of_one_template_in_one_document(spark):
     assert sorted(r.item_id for r in decontam.report(docs, bench).collect()) == [1, 2]
 
 
+def test_names_that_begin_sentences(spark):
+    """A name at the start of a sentence is a slot like one within it, and must be consistent too."""
+    item = "Anna has 5 apples. Ben has 3 apples. Cleo has 7 apples. Anna eats 5 apples. Ben eats 3 apples. Cleo eats 7 apples."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rng = random.Random(5)
+    pad = lambda: cases.prose(rng, 40)
+    other = item.replace("Anna", "Dora").replace("Ben", "Emil").replace("Cleo", "Fritz").replace("5", "90").replace("3", "21").replace("7", "16")
+    wrong = "Dora has 9 apples. Emil has 2 apples. Fritz has 4 apples. Gero eats 6 apples. Hilda eats 1 apples. Ines eats 8 apples."
+    texts = [other, f"{pad()}\n{other}\n{pad()}", "When asked, " + other, wrong, pad(), item, f"{item}\n{wrong}", "Apples " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bound in (500_000, 0):
+        assert sorted(r.doc_id for r in decontam.report(docs, bench, bound=bound).collect()) == [0, 1, 2, 5, 6]
+
+
 def test_items_of_four_tokens_are_matched_whole(spark):
     bench = spark.createDataFrame([(1, ITEM), (7, "Name every prime below"), (8, "two words"), (None, "Name the odd one")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "name every PRIME, below!"), (2, "He said: name every prime below."), (3, "name every prime"), (4, "two words"), (5, ITEM), (6, "name every odd below"), (7, "Name every prime below thirty. " * 20)], "doc_id long, text string")
