@@ -49,9 +49,11 @@ class TextEncoder:
         self.known = _Known(self, '"ByteLevel"' in steps and '"Lowercase"' in json.dumps(spec.get("normalizer")))
 
     @staticmethod
-    def of(path: str) -> TextEncoder:
+    def of(path: str, kept: int = _KEPT) -> TextEncoder:
+        """This worker's encoder, which keeps as many pieces from now on."""
         if path not in _MADE:
             _MADE[path] = TextEncoder(path)
+        _MADE[path].kept = kept
         return _MADE[path]
 
     def _ids(self, texts: list[str]) -> list[bytes]:

@@ -35,6 +35,7 @@ from tallyloom.llm.tokens import END_ID, TextEncoder
 MAGIC = b"TLWMTX02"
 BLOCK, STRETCH = 1 << 16, 1 << 11  # bits
 PIECE = 1 << 15  # ids that are dealt to the next level at a time: they fit a core's cache
+KEPT = 600_000  # pieces of text whose ids a worker keeps: about 150 MB
 NULL_ID = -(1 << 63)
 MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long"
 
@@ -250,7 +251,7 @@ def write_shards(docs: DataFrame, tokenizer: str, out: str, shard_tokens: int =
     def run(batches):
         from pyspark import TaskContext
 
-        part, shard, encoder = TaskContext.get().partitionId(), 0, TextEncoder.of(tokenizer)
+        part, shard, encoder = TaskContext.get().partitionId(), 0, TextEncoder.of(tokenizer, KEPT)
         levels = max(1, max(END_ID, encoder.tokenizer.get_vocab_size() - 1).bit_length())
         store, root = _open(out)
         store.create_dir(root, recursive=True)
