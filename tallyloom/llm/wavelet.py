@@ -35,7 +35,7 @@ from tallyloom.llm.tokens import END_ID, TextEncoder
 MAGIC = b"TLWMTX02"
 BLOCK, STRETCH = 1 << 16, 1 << 11  # bits
 PIECE = 1 << 15  # ids that are dealt to the next level at a time: they fit a core's cache
-KEPT = 600_000  # pieces of text whose ids a worker keeps: about 150 MB
+KEPT = 600_000  # pieces of text whose ids a worker keeps
 NULL_ID = -(1 << 63)
 MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long"
 
