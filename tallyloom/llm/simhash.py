@@ -73,14 +73,17 @@ def masks(bits: int, radius: int) -> list[tuple[int, int]]:
 
 
 def links(classes: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
-    """classes(fp): all pairs (a, b), a < b, of fingerprints at most radius bits apart."""
+    """classes(fp): all pairs (a, b), a < b, of fingerprints at most radius bits apart.
+
+    Spark estimates a ball by its class, not by its many probes, and would broadcast hundreds of MB of them: both sides are shuffled, whatever their size.
+    """
     bits = 64 // segments
     long = lambda x: F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
     ball = F.array(*(F.struct(long(m).alias("mask"), long(low).alias("low")) for m, low in masks(bits, radius // segments)))
     cut = lambda s: F.shiftrightunsigned("fp", s * bits).bitwiseAND(long((1 << bits) - 1))
     keyed = classes.select("fp", F.posexplode(F.array(*(cut(s) for s in range(segments)))).alias("seg", "key"))
     probes = keyed.select("fp", "seg", "key", F.explode(ball).alias("x")).where("x.mask = 0 OR key & x.low <> 0").select(F.col("fp").alias("p"), "seg", F.expr("key ^ x.mask").alias("key"), (F.col("x.mask") == 0).alias("same"))
-    met = probes.join(keyed, ["seg", "key"]).where("p <> fp AND (NOT same OR p < fp)").where(F.bit_count(F.col("p").bitwiseXOR(F.col("fp"))) <= radius)
+    met = probes.hint("merge").join(keyed.hint("merge"), ["seg", "key"]).where("p <> fp AND (NOT same OR p < fp)").where(F.bit_count(F.col("p").bitwiseXOR(F.col("fp"))) <= radius)
     return met.select(F.least("p", "fp").alias("a"), F.greatest("p", "fp").alias("b")).distinct()
 
 
@@ -90,8 +93,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, segments:
     classes = save(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     comp = components(links(classes, radius, segments))
     of = classes.join(comp, F.col("node") == F.col("fp"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    named = of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    named = save(of.join(of.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id"), "named")
+    return fps.hint("merge").join(small(named, 100_000), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)

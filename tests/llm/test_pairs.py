@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import cases
-from tallyloom.llm import components, cross_polytope, decontam, licenses, simhash
+from tallyloom.llm import common, components, cross_polytope, decontam, licenses, simhash
 
 
 def closure(nodes, pairs):
@@ -103,6 +103,13 @@ def test_simhash_of_planted_fingerprints(spark):
     assert got == want and len(want) >= 400
 
 
+def test_probes_are_not_broadcast(spark):
+    """34 probes a class outgrow the driver long before Spark's estimate of them outgrows the threshold."""
+    classes = common.save(spark.createDataFrame([(x * 0x9E3779B97F4A7C,) for x in range(100)], "fp long"), "classes")
+    plan = simhash.links(classes)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def shingles(text, k=5):
     w = (text or "").translate(_UP).split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
