@@ -10,9 +10,11 @@ bit set). Ball sizes are fixed by (bits, segments, radius); nothing is capped.
 
 near_duplicates() links documents by the distance of 64-bit fingerprints over three words. similar_groups() is for a given Jaccard similarity of
 the distinct shingles of five words (as 64-bit hashes): a pair is linked if, and only if, it meets and its two whole sets are at least that similar.
-Pairs meet by MinHash: a key is made of the least shingles under `rows` orders, and there are as many keys as it takes for a pair of exactly
-that similarity to share none with a probability of `missed` (22 for 0.8 and 1e-5); more similar ones miss less. Members of a bucket
-are compared with its least one; a few bands go first, and a bucket within one group needs nothing more. Only those that the least one does
+Pairs meet by SimHash and multi-index hashing too, over wider fingerprints: sets of similarity 0.8 differ in 15 to 19 % of bits, so 64 bits and a radius of two
+would miss them. In each of 27 segments of 28 bits, both sides have the Hamming ball of the changes that the votes make likeliest (none, one of the seven
+least certain bits, two of the least six), and 128 bits more are compared whole. Sets of up to 14 shingles also meet by all that is left of them without one
+or two shingles, which a pair of 0.8 always shares. Meeting is made for 0.8 and more; a lower similarity is met less often. Members of a bucket
+are compared with its least one; a few segments go first, and a bucket within one group needs nothing more. Only those that the least one does
 not link are compared with the others, in blocks bounded by rows and shingles: a group of close copies costs some comparisons each.
 
 Null, empty and blank texts have fingerprint zero, linked like any other. Null ids take part; a group's id is its least
@@ -105,12 +107,29 @@ def _mixed(x: np.ndarray, by: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class MinHasher:
-    """Shingle sets of texts and their MinHash keys; hashes of words are kept, up to a bound."""
+#: A wide fingerprint has SEGMENTS segments of WIDTH bits, to meet by, and 128 bits to compare whole. A ball changes one of a segment's WEAK least certain bits, or two of its PAIRED least.
+SEGMENTS, WIDTH, WEAK, PAIRED, APART = 27, 28, 7, 6, 45
+#: Sets of at most so many shingles also meet by what is left of them without one or two.
+SHORT = 14
+_LONGS = -(-SEGMENTS * WIDTH // 64) + 2
+_BALL = [(), *((i,) for i in range(WEAK)), *combinations(range(PAIRED), 2)]
+_LANES = np.uint64(0x0101010101010101)
 
-    def __init__(self, words: int, bands: int, rows: int, kept: int = 200_000):
-        self.words, self.bands, self.rows, self.kept, self.known = words, bands, rows, kept, {}
-        self.by = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64), _MIX[2]) | np.uint64(1)
+
+def ball(keys: np.ndarray, change: tuple[int, ...]) -> np.ndarray:
+    """Segments, with the bits changed that are at these places of their order of certainty."""
+    out = keys & ((1 << WIDTH) - 1)
+    for i in change:
+        out = out ^ (1 << (keys >> (WIDTH + 5 * i) & 31))
+    return out
+
+
+class WideHasher:
+    """Shingle sets of texts and their wide fingerprints; hashes of words are kept, up to a bound."""
+
+    def __init__(self, words: int, kept: int = 200_000):
+        self.words, self.kept, self.known = words, kept, {}
+        self.by = _mixed(np.arange(1, _LONGS + 1, dtype=np.uint64), _MIX[2]) | np.uint64(1)
 
     def shingles(self, text: str | None) -> tuple[int, np.ndarray]:
         """(hash of the word sequence, distinct shingle hashes, ascending)."""
@@ -131,20 +150,35 @@ class MinHasher:
             out = _mixed(out ^ h[i : i + len(out)], _MIX[0])
         return xxhash.xxh64_intdigest(h.tobytes(), 7), np.unique(out)
 
+    def margins(self, s: np.ndarray) -> np.ndarray:
+        """Votes for, less votes against, every bit. Eight bits a long are counted at once, a byte each, of 255 shingles at most."""
+        votes = np.zeros((_LONGS, 8, 8), np.int64)
+        for at in range(0, len(s), 4080):
+            x = _mixed(s[None, at : at + 4080], self.by[:, None])
+            cuts = np.arange(0, x.shape[1], 255)
+            for k in range(8):
+                votes[:, :, k] += np.add.reduceat(x >> np.uint64(k) & _LANES, cuts, axis=1).view(np.uint8).reshape(_LONGS, -1, 8).sum(1, dtype=np.int64)
+        return votes.reshape(-1) * 2 - len(s)
+
     def keys(self, s: np.ndarray) -> np.ndarray:
-        """One key a band, of the least of the set under each of its orders; none of an empty set."""
+        """SEGMENTS longs, each a segment and the places of its WEAK least certain bits, the least first; two longs of bits; of a short set, the keys of its remains. None of an empty set."""
         if not len(s):
             return np.empty(0, np.uint64)
-        least = np.full(len(self.by), np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(s), 1024):
-            least = np.minimum(least, (self.by[:, None] * s[None, at : at + 1024]).min(1))
-        least, key = least.reshape(self.bands, self.rows), np.arange(1, self.bands + 1, dtype=np.uint64)
-        for i in range(self.rows):
-            key = _mixed(key ^ least[:, i], _MIX[3])
-        return key
-
-
-def shingle_sets(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+        margin = self.margins(s)
+        cut = margin[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH)
+        out = ((cut > 0) * (1 << np.arange(WIDTH))).sum(1)
+        weak = np.argsort(np.abs(cut), axis=1, kind="stable")[:, :WEAK]
+        out = (out | (weak << (WIDTH + 5 * np.arange(WEAK))).sum(1)).astype(np.uint64)
+        parts = [out, np.packbits(margin[-128:] > 0, bitorder="little").view(np.uint64)]
+        if len(s) <= SHORT:
+            x = _mixed(s, _MIX[3])
+            i, j = np.triu_indices(len(s), 1)
+            left = x.sum() - np.concatenate((np.zeros(1, np.uint64), x, x[i] + x[j]))
+            parts.append(_mixed(left, _MIX[2]))
+        return np.concatenate(parts)
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """docs(id, tie, text): id, tie, at (a number of the row), rep (one of the text's word sequence), n, keys and s, the shingle set."""
     ready(docs.sparkSession)
 
@@ -153,7 +187,7 @@ def shingle_sets(docs: DataFrame, words: int, bands: int, rows: int) -> DataFram
         return pa.ListArray.from_arrays(pa.array(cut), pa.array((np.concatenate(parts) if parts else np.empty(0, np.uint64)).view(np.int64)))
 
     def run(batches):
-        hasher = MinHasher(words, bands, rows)
+        hasher = WideHasher(words)
         for b in batches:
             found = [hasher.shingles(x.as_py()) for x in b.column(3)]
             sets = [x for _, x in found]
@@ -163,6 +197,107 @@ def shingle_sets(docs: DataFrame, words: int, bands: int, rows: int) -> DataFram
     return docs.select("id", "tie", F.monotonically_increasing_id().alias("at"), "text").mapInArrow(run, "id long, tie long, at long, rep long, n int, keys array<long>, s array<long>")
 
 
+def meetings(classes: DataFrame, rows: int | None = None, room: int = 1 << 20) -> DataFrame:
+    """classes(rep, keys): (rep, band, key) of what meets another by a segment's ball or a short set's remains; who meets, directly or over others of a table, has one key.
+
+    Every class goes to each segment's table once (of more than `room` classes: once for each start that segments of its ball have, as many bits of it as keep a table
+    below that), and balls are made and met there, so that the shuffle carries few of them. Classes with an equal segment in their balls meet if their other 128 bits
+    are at most APART from those of each other or of a third; of over 64 classes, all do. A large group of near copies has one key a table, not one for each changed bit.
+    """
+    spark = classes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(WIDTH, max(0, math.ceil(math.log2(max(1, (classes.count() if rows is None else rows) / room)))))
+
+    def deal(batches):
+        for b in batches:
+            rep, cut = b.column(0).to_numpy(), np.cumsum([0, *b.column(1).value_lengths().to_numpy()])
+            flat = b.column(1).flatten().to_numpy()
+            has = np.flatnonzero(np.diff(cut))
+            if not len(has):
+                continue
+            at = cut[:-1][has][:, None] + np.arange(SEGMENTS + 2)
+            seg, one, two = flat[at[:, :SEGMENTS]], flat[at[:, -2]], flat[at[:, -1]]
+            if bits:
+                starts = np.sort(np.stack([ball(seg, c) >> (WIDTH - bits) for c in _BALL], axis=2), axis=2)
+                fresh = np.concatenate((np.ones((*seg.shape, 1), bool), np.diff(starts, axis=2) != 0), axis=2)
+                i, s, k = np.nonzero(fresh)
+                part = (s << bits) + starts[i, s, k]
+            else:
+                i, s = (x.reshape(-1) for x in np.indices(seg.shape))
+                part = s
+            left = [flat[cut[j] + SEGMENTS + 2 : cut[j + 1]] for j in has]
+            owner, left = np.repeat(np.arange(len(has)), list(map(len, left))), np.concatenate(left)
+            part = np.concatenate((part, (SEGMENTS << bits) + (left & ((8 << bits) - 1))))
+            who, key = np.concatenate((i, owner)), np.concatenate((seg[i, s], left))
+            for lo in range(0, len(who), 10_000):
+                w = who[lo : lo + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part[lo : lo + 10_000].astype(np.int32), rep[has][w], key[lo : lo + 10_000], one[w], two[w])], ["part", "rep", "key", "one", "two"])
+
+    def met(key, who, fp):
+        """Pairs of rows that join those of each key: fp None for keys that need no more than to be equal."""
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
+        same = key[1:] == key[:-1]
+        inside = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+        key, who = key[inside], who[inside]
+        if fp is not None and len(key):
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            near = np.repeat(np.diff([*begin, len(key)]) > 64, np.diff([*begin, len(key)]))
+            for d in range(1, 64):
+                i = np.flatnonzero((key[d:] == key[:-d]) & ~(near[d:] & near[:-d]))
+                if not len(i):
+                    break
+                p, q = who[i], who[i + d]
+                i = i[np.bitwise_count(fp[0][p] ^ fp[0][q]) + np.bitwise_count(fp[1][p] ^ fp[1][q]) <= APART]
+                near[i] = near[i + d] = True
+            key, who = key[near], who[near]
+        i = np.flatnonzero(key[1:] == key[:-1])
+        return who[i], who[i + 1]
+
+    def run(batches):
+        def table(part, held):
+            rep, key, one, two = (np.concatenate(x) for x in zip(*held))
+            label, seg = np.arange(len(rep)), part >> bits
+            if seg >= SEGMENTS:
+                unite(label, *met(key, label.copy(), None))
+            else:
+                # In turns, each of the segments with one remainder.
+                turns = -(-len(key) * len(_BALL) // 1_500_000)
+                for turn in range(turns):
+                    keys, who = [], []
+                    for c in _BALL:
+                        x = ball(key, c)
+                        own = (x >> (WIDTH - bits) == part & ((1 << bits) - 1)) if bits else np.ones(len(x), bool)
+                        i = np.flatnonzero(own & (x % turns == turn))
+                        keys.append(x[i])
+                        who.append(i)
+                    unite(label, *met(np.concatenate(keys), np.concatenate(who), (one.view(np.uint64), two.view(np.uint64))))
+            rows = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+            rows = rows[np.lexsort((rep[rows], label[rows]))]
+            rows = rows[np.concatenate(([True], (rep[rows[1:]] != rep[rows[:-1]]) | (label[rows[1:]] != label[rows[:-1]])))[: len(rows)]]
+            for lo in range(0, len(rows), 10_000):
+                i = rows[lo : lo + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(np.full(len(i), min(seg, SEGMENTS), np.int32)), pa.array(label[i] + (part << 32))], ["rep", "band", "key"])
+
+        now, held = None, []
+        for b in batches:
+            part, cols = b.column(0).to_numpy(), [b.column(i).to_numpy() for i in range(1, 5)]
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if part[lo] != now:
+                    if held:
+                        yield from table(now, held)
+                    now, held = int(part[lo]), []
+                held.append(tuple(c[lo:hi] for c in cols))
+        if held:
+            yield from table(now, held)
+
+    dealt = classes.select("rep", "keys").mapInArrow(deal, "part int, rep long, key long, one long, two long")
+    return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "rep long, band int, key long")
+
+
 def _rows_of(batches, keys: int):
     """(key, columns of its rows as arrays, sets), piece by piece, of batches sorted by their first columns."""
     for b in batches:
@@ -245,15 +380,14 @@ def _rest_links(rest: DataFrame, others: DataFrame, sets: DataFrame, similarity:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, missed: float = 1e-5, rows: int = 4, first: int = 4, block: int = 2000) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, first: int = 4, block: int = 2000) -> DataFrame:
     """docs(id, tie, text): (id, tie, grp) for every row; rows of one grp are similar, directly or over others."""
-    bands = max(first, math.ceil(math.log(missed) / math.log1p(-min(similarity, 0.999) ** rows)))
-    table = save(shingle_sets(docs, words, bands, rows), "sets")
+    table = save(shingle_sets(docs, words), "sets")
     classes = save(table.groupBy("rep").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys")), "set-classes")
-    every = save(classes.select("rep", "at", "n", F.posexplode("keys").alias("band", "key")), "set-keys")
+    found = save(meetings(classes), "set-met-keys")
+    keys = save(found.join(classes.select("rep", "at", "n"), "rep"), "set-shared")
+    drop(found)
     drop(classes)
-    keys = save(every.join(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "set-shared")
-    drop(every)
     # Only sets that meet another are read again. Of the others, nothing but the names of their rows is kept.
     met = save(keys.select("at").distinct(), "set-met")
     sets = save(table.select("at", "rep", "s").join(small(met), "at", "left_semi").select("rep", "s"), "set-candidates")

@@ -151,6 +151,30 @@ def test_the_similarity_decides_on_both_sides(spark):
     assert 100 < sum(want) < 300 and [grp[i] == grp[i + 1] for i in range(0, len(texts), 2)] == want
 
 
+def test_meetings_are_those_of_the_balls(spark):
+    """Sets around 0.8 meet by the wide SimHash fingerprints of their shingles, short ones by their remains too, whatever the tables are cut into."""
+    rng, hasher = np.random.default_rng(5), simhash.WideHasher(5)
+    sets = []
+    for n in [*range(1, 16)] * 4 + [40, 41, 120, 300] * 15:
+        s = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets += [s, s[: max(1, -(-4 * n // 5))], np.concatenate((s[n // 8 :], rng.integers(0, 1 << 63, n // 20).astype(np.uint64)))]
+    sets = [np.unique(s) for s in sets]
+    assert (hasher.margins(sets[-1]) == sum(np.unpackbits(simhash._mixed(x, hasher.by).view(np.uint8), bitorder="little").astype(int) * 2 - 1 for x in sets[-1])).all()
+    keys = [hasher.keys(s).view(np.int64) for s in sets]
+    S = simhash.SEGMENTS
+    balls = [[{(s, int(simhash.ball(k[:S], c)[s])) for c in simhash._BALL} for s in range(S)] for k in keys]
+    same = lambda i, j: any(a & b for a, b in zip(balls[i], balls[j])) and sum(int(x).bit_count() for x in (keys[i][S : S + 2] ^ keys[j][S : S + 2]).view(np.uint64)) <= simhash.APART
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if same(i, j) or set(keys[i][S + 2 :]) & set(keys[j][S + 2 :])}
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if jaccard(set(sets[i]), set(sets[j])) >= 0.8}
+    classes = spark.createDataFrame([(i, k.tolist()) for i, k in enumerate(keys)] + [(9999, [])], "rep long, keys array<long>").repartition(3)
+    for room in (1 << 20, 50):
+        by = {}
+        for r in simhash.meetings(classes, len(keys), room).collect():
+            by.setdefault((r.band, r.key), set()).add(r.rep)
+        got = {(i, j) for m in by.values() for i in m for j in m if j < i}
+        assert alike <= want <= got and 200 < len(alike) and all(len(m) > 1 for m in by.values()) and len(got) < 2 * len(want)
+
+
 def test_groups_of_a_family_are_those_of_all_pairs(spark):
     """Variants of one text around 0.8, also in blocks of a few rows."""
     rng = random.Random(9)
