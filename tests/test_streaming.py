@@ -3,7 +3,10 @@
 import datetime as dt
 import json
 import os
+import random
+import tracemalloc
 
+import pandas as pd
 import pytest
 
 from quotes import QUOTE_STATS, QUOTES, SCHEMA, WORD_STATS, frame, schema, tuples
@@ -141,6 +144,85 @@ def test_events_out_of_order_are_refused_and_change_nothing(spark, tmp_path):
     assert sorted(r["error"] for r in got if r["error"]) == ["event out of order (position 11, last position 11)", "event out of order (position 5, last position 11)", "event without a position"]
 
 
+class Calls:
+    """As much of a stream and of a state as committed() asks for, so that its step can be called here."""
+
+    exists = False
+
+    def groupBy(self, key):
+        return self
+
+    def applyInPandasWithState(self, step, *_):
+        return step
+
+    def update(self, value):
+        self.kept = json.loads(value[0])
+
+
+def frames(events, n):
+    for i in range(0, len(events), n):
+        yield pd.DataFrame(events[i : i + n], columns=["seq_no", "row", "position"])
+
+
+def test_a_writers_events_are_not_held_at_once():
+    def most(n):
+        places = random.Random(1).sample(range(1, n + 1), n)
+        batches = (pd.DataFrame({"writer": "a", "seq_no": part, "row": [None if p % 5 == 0 else f"{p:08d}" * 500 for p in part], "position": part}) for part in (places[i : i + 500] for i in range(0, n, 500)))
+        got = []
+        tracemalloc.start()
+        try:
+            for out in committed(Calls())(("a",), batches, Calls()):
+                assert [int(row[:8]) for row in out["row"].tolist()] == out["seq_no"].tolist()
+                got += out["seq_no"].tolist()
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert got == [p for p in range(1, n + 1) if p % 5]
+        return peak
+
+    small, large = most(15_000), most(60_000)
+    assert large < 1.3 * small and large < 100e6
+
+
+def test_runs_on_disk_change_nothing(monkeypatch):
+    """Repeats, gaps, missing positions and bad acknowledgements, sorted in runs of few events over several levels, against a plain sort."""
+    from tallyloom.streaming import runs
+
+    pick = random.Random(2)
+    events = [(p // 3, None if p % 3 == 0 else f"r{p}", None if pick.random() < 0.01 else p // pick.choice((1, 1, 1, 2))) for p in pick.sample(range(3, 6000), 4000)]
+    txn, last, done, bad = Transactions(), None, [], []
+    for n, row, p in sorted(events, key=lambda e: (e[2] is None, e[2] or 0)):
+        if p is None or last is not None and p <= last:
+            bad.append(n)
+            continue
+        last = p
+        try:
+            done += [(e.seq_no, e.row) for e in txn.apply(DeltaEvent("a", n, row))]
+        except SequenceError:
+            bad.append(n)
+    assert len(done) > 100 and len(bad) > 100
+    monkeypatch.setattr(runs, "RUN", 4000)
+    monkeypatch.setattr(runs, "BLOCK", 1000)
+    monkeypatch.setattr(runs, "FAN", 3)
+    written, write = [], runs._write
+    monkeypatch.setattr(runs, "_write", lambda found: written.append(1) or write(found))
+    state = Calls()
+    out = pd.concat(list(committed(Calls())(("a",), frames(events, 37), state)))
+    assert len(written) > 200
+    good, refused = out[out["error"].isna()], out[out["error"].notna()]
+    assert list(zip(good["seq_no"], good["row"])) == done and list(refused["seq_no"]) == bad
+    assert state.kept == json.loads(json.dumps({"txn": txn.snapshot(), "last": last}))
+
+
+def test_events_by_position():
+    from tallyloom.streaming.runs import by_position
+
+    assert list(by_position([])) == []
+    events = [(1, "a", 2**60 + 1), (2, None, 5), (3, "c", 2**60), (4, "d", 5)]
+    assert list(by_position(frames(events, 3))) == [events[1], events[3], events[2], events[0]]
+    assert [e[0] for e in by_position(frames([(1, "a", None), (2, "b", 3), (3, "c", None)], 2))] == [2, 1, 3]
+
+
 def test_backfill_then_live(spark, tmp_path):
     store, folder = ViewStore(spark, f"file://{tmp_path}/views", schema()), tmp_path / "in"
     put(folder, "a.json", QUOTES[:2])
